@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, taken
+
+    return taken(mix(table(spark, sf_dir, "documents"))[1])
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract
 
