@@ -15,6 +15,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(mix(table(spark, sf_dir, "documents"))[1])
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import summary
+
+    return summary(table(spark, sf_dir, "documents"))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract
 
@@ -52,4 +58,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import linededup
+
+    return {"op2_linededup": linededup.ORACLE}
