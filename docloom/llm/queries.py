@@ -59,6 +59,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op9_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pq import links
+
+    return links(table(spark, sf_dir, "embeddings"))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
