@@ -14,6 +14,7 @@ header or whose stated length runs over the end of the file; what cannot be reac
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from .common import cols, shared_dir, stored
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
+#: Rows of about 200 bytes that may be broadcast; more of them are joined by a shuffle.
+SENT_ROWS = 100_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -48,7 +51,9 @@ def archive(pages: DataFrame, path: str, least: int = 0) -> None:
     key = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")
     small = p.select(key.alias("key"), "page_id", "url", "bytes", "digest").where(F.col("bytes") >= least)
     first = small.groupBy("digest", "bytes").agg(F.min("key").alias("first"), F.max("key").alias("last")).where(F.col("first") != F.col("last")).select("digest", "bytes", "first")
-    p = p.join(first, ["digest", "bytes"], "left")
+    # Only payloads that occur twice are looked up; where these are few they are sent out, so that pages stay where they are.
+    first = stored(first, "warc-first")
+    p = p.join(F.broadcast(first) if first.count() <= SENT_ROWS else first, ["digest", "bytes"], "left")
     again = F.col("first").isNotNull() & (key != F.col("first")) & (F.col("bytes") >= least)
     crlf = "\r\n"
     uid = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -69,17 +74,28 @@ def _field(name: str) -> Column:
     return F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record that the chains reach: file, offset, type, record_id, uri, refers_to, digest, stated_bytes, payload (binary)."""
+def records(spark: SparkSession, path: str, of_payload: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Every record that the chains reach: file, offset, type, record_id, uri, refers_to, digest, stated_bytes, and payload (binary)
+    or, if of_payload is given, those columns instead. They should be small: they are made where the archive is read, and no payload is shuffled
+    but of records that hold the magic."""
     cut = _pieces(spark, path).withColumn("bytes", F.octet_length("value").cast("long"))
     at = F.instr("value", END)
     cut = cut.withColumn("head", F.when(at > 0, F.substring("value", F.lit(1), at - 1))).withColumn("head_bytes", F.octet_length("head") + len(END))
     cut = cut.withColumn("content", _field("Content-Length").try_cast("long"))
     fields = {"type": _field("WARC-Type"), "record_id": _field("WARC-Record-ID"), "uri": _field("WARC-Target-URI"), "refers_to": _field("WARC-Refers-To"), "digest": _field("WARC-Payload-Digest"), "stated_bytes": _field("WARC-Payload-Length").try_cast("long")}
+    made = of_payload or {"payload": lambda x: x}
+
+    def told(value: str, *more: str) -> list[Column]:
+        body = F.expr(f"substring({value}, head_bytes + 1, int(content))")
+        return [*map(F.col, more), *[v.alias(k) for k, v in fields.items()], *[f(body).alias(k) for k, f in made.items()]]
+
     magic = len(MAGIC)
     # How many bytes from its magic a candidate's successor would start; null if there is no readable header.
     span = magic + F.col("head_bytes") + F.col("content") + len(END)
-    places = stored(cut.select("file", "split", "seq", "bytes", span.alias("span")), "warc-places")
+    # A piece that holds its whole payload is read to the end here; the columns of others are not used.
+    data = cut.select(*told("cast(value as binary)", "file", "split", "seq", "bytes"), span.alias("span"))
+    places = stored(data if of_payload else data.select("file", "split", "seq", "bytes", "span"), "warc-places")
+    data = places if of_payload else data
 
     # Offsets: a piece follows the pieces before it in its split, and the splits before that.
     within = Window.partitionBy("file", "split").orderBy("seq")
@@ -94,10 +110,10 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     # first round are made at once. Runs are cut wherever another jump lands.
     run = Window.partitionBy("file", "split").orderBy("offset")
     lands = links.withColumn("then", F.lead("offset").over(run)).where(F.col("next").isNotNull() & ~F.col("next").eqNullSafe(F.col("then"))).select("file", F.col("next").alias("offset"), F.lit(True).alias("lands")).distinct()
-    told = links.join(lands, ["file", "offset"], "left").withColumn("starts", F.coalesce("lands", F.lit(False)) | ~F.lag("next").over(run).eqNullSafe(F.col("offset")))
-    told = told.withColumn("run", F.last(F.when(F.col("starts"), F.col("offset")), True).over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    told = stored(told.drop("starts", "lands"), "warc-runs")
-    jump = stored(told.groupBy("file", "run").agg(F.max_by("next", "offset").alias("next")), "warc-jumps")
+    runs = links.join(lands, ["file", "offset"], "left").withColumn("starts", F.coalesce("lands", F.lit(False)) | ~F.lag("next").over(run).eqNullSafe(F.col("offset")))
+    runs = runs.withColumn("run", F.last(F.when(F.col("starts"), F.col("offset")), True).over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = stored(runs.drop("starts", "lands"), "warc-runs")
+    jump = stored(runs.groupBy("file", "run").agg(F.max_by("next", "offset").alias("next")), "warc-jumps")
 
     reached = jump.where("run = 0").select("file", "run")
     jump = jump.where("next is not null")
@@ -110,23 +126,21 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         if far.isEmpty():
             break
         jump = far
-    true = told.join(reached, ["file", "run"], "left_semi").where("next is not null").select("file", "split", "seq", "offset", "next", "bytes")
+    true = runs.join(reached, ["file", "run"], "left_semi").where("next is not null").select("file", "split", "seq", "offset", "next", "bytes")
     true = stored(true, "warc-true")
 
-    keep = ["file", "offset", *fields, "payload"]
+    keep = ["file", "offset", *fields, *made]
     whole = true.where(F.col("next") <= F.col("offset") + F.col("bytes") + magic).select("file", "split", "seq", "offset")
-    data = cut.select("file", "split", "seq", "head", "head_bytes", "content", "value")
-    one = data.join(whole, ["file", "split", "seq"]).select("file", "offset", *[v.alias(k) for k, v in fields.items()], F.expr("substring(cast(value as binary), head_bytes + 1, int(content))").alias("payload"))
+    one = data.join(whole, ["file", "split", "seq"]).select(*keep)
 
     # The rest hold the magic: their later pieces are those that start before the next record.
-    long = true.where(F.col("next") > F.col("offset") + F.col("bytes") + magic).select("file", "offset", "next")
+    long = stored(true.where(F.col("next") > F.col("offset") + F.col("bytes") + magic).select("file", "offset", "next"), "warc-long")
     if long.isEmpty():
-        return one.select(*keep)
+        return one
     parts = links.select("file", "split", "seq", F.col("offset").alias("part")).join(long, "file").where("part >= offset and part < next")
-    parts = data.join(parts, ["file", "split", "seq"]).groupBy("file", "offset").agg(F.sort_array(F.collect_list(F.struct("part", F.col("value").cast("binary").alias("value")))).alias("parts"), F.max(F.when(F.col("part") == F.col("offset"), F.struct("head", "head_bytes", "content"))).alias("h"))
-    joined = parts.select("file", "offset", "h.head", "h.head_bytes", "h.content", F.expr(f"unhex(array_join(transform(parts, x -> hex(x.value)), hex('{MAGIC}')))").alias("value"))
-    several = joined.select("file", "offset", *[v.alias(k) for k, v in fields.items()], F.expr("substring(value, head_bytes + 1, int(content))").alias("payload"))
-    return one.select(*keep).unionByName(several.select(*keep))
+    parts = cut.join(parts, ["file", "split", "seq"]).groupBy("file", "offset").agg(F.sort_array(F.collect_list(F.struct("part", F.col("value").cast("binary").alias("value")))).alias("parts"), F.max(F.when(F.col("part") == F.col("offset"), F.struct("head", "head_bytes", "content"))).alias("h"))
+    several = parts.select("file", "offset", "h.head", "h.head_bytes", "h.content", F.expr(f"unhex(array_join(transform(parts, x -> hex(x.value)), hex('{MAGIC}')))").alias("value")).select(*told("value", "file", "offset"))
+    return one.unionByName(several.select(*keep))
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
@@ -134,8 +148,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
     A response's are taken of the payload that was read; a revisit's are those of the record that it refers to."""
     page = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(.*)>$", 1), F.lit("")).try_cast("long")
-    r = records(spark, path).withColumn("sha1", F.when(F.col("type") == "response", F.sha1("payload")))
-    r = r.select(page("record_id").alias("page_id"), "type", page("refers_to").alias("refers_to"), F.when(F.col("type") == "response", F.octet_length("payload")).otherwise(F.col("stated_bytes")).cast("long").alias("payload_bytes"), F.when(F.col("type") == "response", base32(F.col("sha1"))).otherwise(F.regexp_extract("digest", "^sha1:(.*)$", 1)).alias("payload_digest"))
+    r = records(spark, path, {"read_bytes": F.octet_length, "sha1": F.sha1})
+    response = F.col("type") == "response"
+    r = r.select(page("record_id").alias("page_id"), "type", page("refers_to").alias("refers_to"), F.when(response, F.col("read_bytes")).otherwise(F.col("stated_bytes")).cast("long").alias("payload_bytes"), F.when(response, base32(F.col("sha1"))).otherwise(F.regexp_extract("digest", "^sha1:(.*)$", 1)).alias("payload_digest"))
     return r.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", F.col("refers_to")).alias("refers_to"))
 
 
