@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     geo = stored(geo, "mix-sources")
 
     # Unfolded in two steps, so that no task makes all slots of a hot source.
-    slots = geo.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {UNFOLD}")))).repartition("source_no", "run")
+    slots = geo.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {UNFOLD}")))).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "run")
     slots = slots.withColumn("slot", F.explode(F.sequence(F.col("run") * UNFOLD, F.least((F.col("run") + 1) * UNFOLD, F.col("slots")) - 1)))
     slots = slots.withColumn("epoch", F.expr("slot div blocks")).withColumn("at", F.expr("slot % blocks"))
     slots = slots.withColumn("index", permuted(F.col("at"), F.col("blocks"), F.lit(seed), F.col("source_no"), F.col("epoch")))
@@ -108,7 +108,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     packed = documents.withColumn("index", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))))
     packed = packed.withColumn("from", F.greatest(F.lit(0).cast("long"), F.col("start") - F.col("index") * block)).withColumn("to", F.least(F.lit(block).cast("long"), F.col("start") + F.col("size") - F.col("index") * block))
-    pieces = packed.join(slots, ["source_no", "index"], "left").withColumn("n", F.when(F.col("held").isNull(), 0).otherwise(F.greatest(F.lit(0).cast("long"), F.least("to", "held") - F.col("from"))))  # least() skips nulls
+    # The planner takes slots for as small as the few rows they unfold from, and would broadcast them.
+    pieces = packed.join(slots.hint("merge"), ["source_no", "index"], "left").withColumn("n", F.when(F.col("held").isNull(), 0).otherwise(F.greatest(F.lit(0).cast("long"), F.least("to", "held") - F.col("from"))))  # least() skips nulls
     pieces = pieces.withColumn("first", F.col("index") * block + F.col("from") - F.col("start"))
     return documents, pieces.select("source_no", "part", "row", "doc_id", "tie", "size", "source_size", "target", "epoch", "shard", "place", "first", "n")
 
