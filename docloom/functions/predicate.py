@@ -27,8 +27,9 @@ class Scope(Protocol):
     def aliased(self, name: str) -> tuple[Column, T.DataType]: ...
 
 
-def _false(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+def _false(c: Column, loose: bool = False) -> Column:
+    """Never null. Where null counts as false anyhow, as under a plain filter, the test stays as it is, so that it reaches the scan."""
+    return c if loose else F.coalesce(c, F.lit(False))
 
 
 def _all(parts: list[Column]) -> Column:
@@ -39,34 +40,34 @@ def _any(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 
 
-def compile_filter(condition: dict | None, scope: Scope) -> Column:
-    """All keys of a condition hold."""
+def compile_filter(condition: dict | None, scope: Scope, loose: bool = False) -> Column:
+    """All keys of a condition hold. loose: the column may be null where it is false."""
     if not condition:
         return F.lit(True)
     parts = []
     for key, value in condition.items():
         if key == "_and":
-            parts.append(_all([compile_filter(x, scope) for x in value]) if value is not None else F.lit(True))
+            parts.append(_all([compile_filter(x, scope, loose) for x in value]) if value is not None else F.lit(True))
         elif key == "_or":
-            parts.append(_any([compile_filter(x, scope) for x in value]) if value is not None else F.lit(True))
+            parts.append(_any([compile_filter(x, scope, loose) for x in value]) if value is not None else F.lit(True))
         elif key == "_not":
             parts.append(~compile_filter(value, scope))
         elif key == "_alias":
-            parts += [leaf(*scope.aliased(name), ops) for name, ops in value.items()]
+            parts += [leaf(*scope.aliased(name), ops, loose) for name, ops in value.items()]
         elif (related := scope.related(key, value)) is not None:
             parts.append(related)
         elif (found := scope.field(key)) is not None:
-            parts.append(json_leaf(found[0], [], value) if scope.is_json(key) else leaf(*found, value))
+            parts.append(json_leaf(found[0], [], value) if scope.is_json(key) else leaf(*found, value, loose))
         else:
             raise QueryError(f"unknown field in filter: {key}")
     return _all(parts)
 
 
-def leaf(d: Column, kind: T.DataType, ops) -> Column:
+def leaf(d: Column, kind: T.DataType, ops, loose: bool = False) -> Column:
     """A block of operators on one value."""
     if not isinstance(ops, dict):
         raise QueryError(f"a filter needs an operator: {ops!r}")
-    return _all([operator(d, kind, op, c) for op, c in ops.items()])
+    return _all([operator(d, kind, op, c, loose) for op, c in ops.items()])
 
 
 def _literal(c, kind: T.DataType) -> Column:
@@ -91,11 +92,11 @@ def _comparable(kind: T.DataType, c) -> bool:
     return True
 
 
-def operator(d: Column, kind: T.DataType, op: str, c) -> Column:
+def operator(d: Column, kind: T.DataType, op: str, c, loose: bool = False) -> Column:
     if op == "_and":
-        return _all([leaf(d, kind, x) for x in c]) if c is not None else F.lit(True)
+        return _all([leaf(d, kind, x, loose) for x in c]) if c is not None else F.lit(True)
     if op == "_or":
-        return _any([leaf(d, kind, x) for x in c]) if c is not None else F.lit(True)
+        return _any([leaf(d, kind, x, loose) for x in c]) if c is not None else F.lit(True)
     if op == "_not":
         return ~leaf(d, kind, c)
     if op == "_eq":
@@ -107,7 +108,7 @@ def operator(d: Column, kind: T.DataType, op: str, c) -> Column:
     if op == "_in":
         c = c or []
         same = [x for x in c if x is not None and _comparable(kind, x)]
-        hits = [_false(d.isin([_literal(x, kind) for x in same]))] if same else []
+        hits = [_false(d.isin([_literal(x, kind) for x in same]), loose)] if same else []
         return _any(hits + [d.isNull()] * (None in c))
     if op == "_nin":
         return ~operator(d, kind, "_in", c)
@@ -117,9 +118,9 @@ def operator(d: Column, kind: T.DataType, op: str, c) -> Column:
         if not _comparable(kind, c):
             return F.lit(False)
         x = _literal(c, kind)
-        return _false({"_gt": d > x, "_ge": d >= x, "_lt": d < x, "_le": d <= x}[op])
+        return _false({"_gt": d > x, "_ge": d >= x, "_lt": d < x, "_le": d <= x}[op], loose)
     if op in ("_like", "_ilike"):
-        return like(d, kind, c, op == "_ilike")
+        return like(d, kind, c, op == "_ilike", loose)
     if op in ("_nlike", "_nilike"):
         return ~like(d, kind, c, op == "_nilike")
     if op in ("_any", "_all", "_none"):
@@ -131,7 +132,7 @@ def operator(d: Column, kind: T.DataType, op: str, c) -> Column:
     raise QueryError(f"unknown operator {op}")
 
 
-def like(d: Column, kind: T.DataType, pattern: str | None, fold: bool = False) -> Column:
+def like(d: Column, kind: T.DataType, pattern: str | None, fold: bool = False, loose: bool = False) -> Column:
     """A % at an end is anything, one inner % too if it is the only one; all else is literal."""
     if pattern is None:
         raise QueryError("_like needs a pattern")
@@ -140,19 +141,19 @@ def like(d: Column, kind: T.DataType, pattern: str | None, fold: bool = False) -
     if fold:
         d, pattern = F.lower(d), pattern.lower()
     if len(pattern) < 2:
-        return _false(d == pattern)
+        return _false(d == pattern, loose)
     head, tail = pattern.startswith("%"), pattern.endswith("%") and len(pattern) > 1
     body = pattern[head : len(pattern) - tail]
     if head and tail:
-        return _false(F.contains(d, F.lit(body)))
+        return _false(F.contains(d, F.lit(body)), loose)
     if head:
-        return _false(F.endswith(d, F.lit(body)))
+        return _false(F.endswith(d, F.lit(body)), loose)
     if tail:
-        return _false(F.startswith(d, F.lit(body)))
+        return _false(F.startswith(d, F.lit(body)), loose)
     ends = pattern.split("%")
     if len(ends) == 2:
-        return _false(F.startswith(d, F.lit(ends[0])) & F.endswith(d, F.lit(ends[1])))
-    return _false(d == pattern)
+        return _false(F.startswith(d, F.lit(ends[0])) & F.endswith(d, F.lit(ends[1])), loose)
+    return _false(d == pattern, loose)
 
 
 def json_leaf(text: Column, path: list[str], ops) -> Column:

@@ -93,7 +93,7 @@ class Frame:
         if condition is None or condition == {"_eq": None} or condition == {"_ne": None}:
             flag = self.attach(child.df.select(r.other).distinct(), r, [F.lit(True)])[0]
             return F.col(flag).isNotNull() if condition == {"_ne": None} else F.col(flag).isNull()
-        hit = compile_filter(condition, child)
+        hit = compile_filter(condition, child, loose=r.many)
         if r.many:
             flag = self.attach(child.df.where(hit).select(r.other).distinct(), r, [F.lit(True)])[0]
             return F.coalesce(F.col(flag), F.lit(False))
@@ -167,7 +167,7 @@ class Planner:
             frame.df = frame.df.where(F.col(frame.collection.key).isin(list(dict.fromkeys(select.doc_ids))))
         before, after = _split(select.filter)
         if before:
-            test = compile_filter(before, frame)
+            test = compile_filter(before, frame, loose=True)
             frame.df = frame.df.where(test)
         if select.group_by is not None:
             frame = self.group(frame, select, within)
@@ -177,7 +177,7 @@ class Planner:
             for item in select.items:
                 self.item(frame, item, select)
         if after:
-            test = compile_filter(after, frame)
+            test = compile_filter(after, frame, loose=True)
             frame.df = frame.df.where(test)
         order = self.order(frame, select.order)
         tie = [F.col(f"`{frame.collection.key}`")] if select.group_by is None else [F.asc_nulls_first(f"`{self.key_column(frame, g)}`") for g in select.group_by]
