@@ -9,7 +9,7 @@ each minimum.
 
 Links are confirmed on full sets, in three steps that never write all pairs of a group: (1) each class with its most
 similar neighbour; (2) components of these links; (3) in regions with more than one component, every pair across
-components whose signatures allow the similarity. Pairs within a component can't change it.
+components. Pairs within a component can't change it, and a region gives at most one link for each component it joins.
 
 Defined results: a null or blank text has an empty set and links with nothing; a document with a null id links with
 nothing, has a null component and is kept; documents of one id and one set are one; repeated rows each get a row;
@@ -190,21 +190,35 @@ def _by_region(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Tabl
         yield held[0].column("region")[0].as_py(), pa.concat_tables(held)
 
 
-def across(least: int) -> Callable:
-    """Rows region, doc, label, sig by region -> region, a, b: pairs with different labels whose signatures agree often enough."""
+def join_labels(n: int, percent: int) -> Callable:
+    """Rows region, doc, label, text by region -> a, b: links that join its labels, at most one less than it has labels.
+
+    Sets are compared in full. The shingles of a region are numbered; one pass over them gives the intersections of a
+    document with all others. Documents of the region's commonest label are only compared with others."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for region, t in _by_region(batches):
-            doc, label = t.column("doc").to_numpy(), t.column("label").to_numpy()
-            buf, offs = bytes_of(t.column("sig"))
-            sig = buf[offs[0] : offs[-1]].view(np.uint16).reshape(len(doc), -1)
-            for lo in range(0, len(doc), 64):
-                part = sig[lo : lo + 64]
-                near = (part[:, None, :] == sig[None, :, :]).sum(axis=2) >= least
-                near &= (label[lo : lo + 64, None] != label[None, :]) & (doc[lo : lo + 64, None] < doc[None, :])
-                i, j = np.nonzero(near)
-                if len(i):
-                    yield pa.RecordBatch.from_pydict({"region": pa.array(np.full(len(i), region)), "a": pa.array(doc[lo + i]), "b": pa.array(doc[j])})
+        for _, t in _by_region(batches):
+            doc, label = t.column("doc").to_numpy(), t.column("label").to_numpy().copy()
+            sets, at = document_sets(*bytes_of(t.column("text")), n)
+            size, number = np.diff(at), np.unique(sets, return_inverse=True)[1]
+            if not len(number):
+                continue
+            mark = np.zeros(number.max() + 1, np.int32)
+            names, count = np.unique(label, return_counts=True)
+            out: list[tuple[int, int]] = []
+            for i in np.flatnonzero(label != names[np.argmax(count)]).tolist():
+                own = number[at[i] : at[i + 1]]
+                if not len(own):
+                    continue
+                mark[own] = 1
+                same = np.add.reduceat(np.append(mark[number], 0), at[:-1])
+                mark[own] = 0
+                near = np.flatnonzero((size > 0) & (100 * same >= percent * (size + size[i] - same)) & (label != label[i]))
+                for k, j in zip(*np.unique(label[near], return_index=True)):
+                    out.append((int(doc[i]), int(doc[near[j]])))
+                    label[label == k] = label[i]
+            if out:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out]), "b": pa.array([y for _, y in out])})
 
     return work
 
@@ -268,14 +282,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     label = components(links)
 
     labelled = members.join(label, members["doc"] == label["node"], "left").select("region", "doc", F.coalesce("root", "doc").alias("label"))
-    mixed = labelled.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("region")
-    labelled = labelled.join(mixed, "region", "left_semi").distinct()
-    labelled = labelled.join(own.select(F.col("rep").alias("doc"), "sig"), "doc").select("region", "doc", "label", "sig")
-    more = labelled.repartition(parts, "region").sortWithinPartitions("region", "doc").mapInArrow(across(_floor(percent / 100, 3.5, 0.0)), "region bigint, a bigint, b bigint")
-    more = more.join(first, ["a", "b"], "left_anti").groupBy("a", "b").agg(F.min("region").alias("region"))
-    more = stored(more.select("region", "a", "b"), "pairs")
+    several = labelled.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("region")
+    labelled = labelled.join(several, "region", "left_semi").distinct()
+    labelled = labelled.join(texts, labelled["doc"] == texts["doc_id"]).select("region", "doc", "label", "text")
+    more = labelled.repartition(parts, "region").sortWithinPartitions("region", "doc").mapInArrow(join_labels(n, percent), "a bigint, b bigint")
+    more = stored(more.distinct(), "confirmed")
     if not more.isEmpty():
-        label = components(links.union(confirmed(more)))
+        # Links between the components that there are.
+        ends = [label.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+        more = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        again = components(more)
+        far = again.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        label = label.join(far, "root", "left").select("node", F.coalesce("far", "root").alias("root")).union(again.join(label, "node", "left_anti").select("node", "root"))
 
     root = classes.join(label, classes["rep"] == label["node"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(root, "digest", "left")
