@@ -37,6 +37,7 @@ LISTED = {"li": {"ul", "ol", "menu"}, "td": {"table"}, "th": {"table"}, "tr": {"
 #: Words of class, id and role that mark what is no article text, and what is.
 BAD = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar search pagination pager skip copyright legal complementary contentinfo navigation dialog".split())
 GOOD = frozenset("article content main post entry story body text".split())
+ABOUT = frozenset("has with without no layout free".split())
 WALL = -50.0
 
 _MAIN = "<!--main-->", "<!--/main-->"
@@ -61,13 +62,16 @@ def _hints(attrs: str) -> set[str]:
     said: set[str] = set()
     for name, a, b, c in _NAMED.findall(attrs):
         if name.lower() in ("class", "id", "role"):
-            said.update(x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a or b or c).lower()) if x)
+            for one in (a or b or c).split():
+                words = {x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower()) if x}
+                if ABOUT.isdisjoint(words):  # "with-sidebar" is said of what stands beside one
+                    said |= words
         elif name.lower() == "hidden" or (a or b or c).lower() == "true":
             said.add("modal")
     return said
 
 
-def read(html: str) -> tuple[list[tuple[str, int, int]], list[Block], dict[int, str]]:
+def read(html: str, by_hints: bool = True) -> tuple[list[tuple[str, int, int]], list[Block], dict[int, str]]:
     """Tokens (kind, amount, block), blocks of text, and what the containers are: "good" or their name."""
     tokens: list[tuple[str, int, int]] = []
     blocks: list[Block] = []
@@ -143,7 +147,7 @@ def read(html: str) -> tuple[list[tuple[str, int, int]], list[Block], dict[int,
                 blocks[-1].parts.append(" ")
         if name in VOID or attrs.endswith("/"):
             continue
-        hints = _hints(attrs) if attrs and ("class" in attrs or "id" in attrs or "role" in attrs or "CLASS" in attrs or "hidden" in attrs) else ()
+        hints = _hints(attrs) if by_hints and attrs and ("class" in attrs or "id" in attrs or "role" in attrs or "CLASS" in attrs or "hidden" in attrs) else ()
         good = name in ("article", "main") or "main" in hints
         bad = name in DROPPED or (hints and name not in ("body", "html", "main") and not BAD.isdisjoint(hints) and ("comment" in hints or "comments" in hints or name != "article"))
         if name == "header" and not any(x in ("article", "main") for x, _ in stack):
@@ -192,6 +196,8 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     if not html:
         return ""
     tokens, blocks, names = read(html)
+    if not blocks:  # what names and classes cut out was the whole page: then only names count
+        tokens, blocks, names = read(html, False)
     lo, hi = best([weights.get(kind, -1.0) * amount for kind, amount, _ in tokens])
     held = [b for _, _, b in tokens[lo:hi] if b >= 0]
     if not held:

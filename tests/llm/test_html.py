@@ -29,6 +29,11 @@ def test_cut_off_and_empty_pages():
     assert H.main_text("just words without markup", W) == "just words without markup"
 
 
+def test_hints_of_wrappers():
+    assert H.main_text(PAGE.replace('class="page"', 'class="page has-sidebar"').replace("<header>", '<div class="wrap no-menu"><header>') % ("<article>%s</article>" % BODY), W) == WANT
+    assert H.main_text('<div class="menu"><p>The whole page stands in a menu, oddly.</p></div>', W) == "The whole page stands in a menu, oddly."
+
+
 def test_best_run():
     assert H.best([1, -2, 3, 4, -1, 2, -9, 5]) == (2, 6)
     assert H.best([-1, -2]) == (0, 0)
