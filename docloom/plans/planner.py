@@ -166,6 +166,7 @@ class Planner:
         if select.doc_ids is not None:
             frame.df = frame.df.where(F.col(frame.collection.key).isin(list(dict.fromkeys(select.doc_ids))))
         before, after = _split(select.filter)
+        before = self.semi(frame, before)
         if before:
             test = compile_filter(before, frame, loose=True)
             frame.df = frame.df.where(test)
@@ -197,6 +198,23 @@ class Planner:
             frame.df = frame.df.orderBy(*order, *tie)
         return frame, [*order, *tie]
 
+    def semi(self, frame: Frame, condition: dict) -> dict:
+        """Conditions on several related documents that stand alone, plain or negated, are semi and anti joins; gives what is left."""
+        left = {}
+        for key, value in condition.items():
+            inner = value if key == "_not" and isinstance(value, dict) and len(value) == 1 else {key: value}
+            (name, test), = inner.items()
+            r = frame.collection.relation(name)
+            if r is None or not r.many or not isinstance(test, dict) or not test or set(test) & {"_eq", "_ne"}:
+                left[key] = value
+                continue
+            child = self.frame(r.target)
+            other = fresh("k")
+            hit = compile_filter(test, child, loose=True)  # may join to child.df
+            keys = child.df.where(hit).select(F.col(f"`{r.other}`").alias(other))
+            frame.df = frame.df.join(keys, F.col(f"`{r.own}`") == F.col(other), "left_anti" if key == "_not" else "left_semi")
+        return left
+
     def item(self, frame: Frame, item, select: Select) -> None:
         if isinstance(item, Plain):
             if item.name == "__typename":
