@@ -90,10 +90,13 @@ def contexts(docs: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "sums": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
 
-    parts = cols(docs, "text").mapInArrow(gather, "block int, sums binary")
+    parts = cols(docs, "text").mapInArrow(gather, "block int, sums binary").withColumn("part", F.spark_partition_id() % 1024)
+    # Two steps: sums of many tasks meet in many tasks first, and only their sums in one for each block.
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts.repartition(spread, "block", "part").select("block", "sums").mapInArrow(add, "block int, sums binary")
     out = np.zeros((BUCKETS, DIM), np.int64)
     # At most BUCKETS x DIM sums come to the driver, whatever the corpus.
-    for row in parts.repartition(8, "block").mapInArrow(add, "block int, sums binary").collect():
+    for row in parts.repartition(BUCKETS // block, "block").mapInArrow(add, "block int, sums binary").collect():
         out[row.block * block : (row.block + 1) * block] += np.frombuffer(row.sums, np.int64).reshape(-1, DIM)
     return out
 
