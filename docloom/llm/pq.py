@@ -27,7 +27,7 @@ from .common import stored
 from .components import components
 from .vectors import binary, centres, matrix, nearest, rows_of, sample
 
-LISTS, PARTS, CODES = 128, 8, 32
+LISTS, PARTS, CODES, SURE = 128, 8, 32, 4.0
 #: Vectors of a block, about.
 BLOCK = 2048
 
@@ -36,7 +36,7 @@ class Quantiser:
     """Coarse centres and codebooks for each length of vector."""
 
     def __init__(self, samples: list[np.ndarray], least: float) -> None:
-        self.least, self.reach = least, math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
+        self.least, self.reach, self.sure = least, math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9, SURE
         self.models: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
         for m in samples:
             size = np.linalg.norm(m, axis=1)
@@ -62,12 +62,13 @@ class Quantiser:
         return cell, code, np.sqrt(error)
 
     def probes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """(rows, cells): which cells up to its own a row must visit; those above find the pair from the other side."""
+        """(rows, cells): which cells a row visits."""
         c, _ = self.model(x.shape[1])
         half = (c * c).sum(axis=1) / 2
         gap = (half - x @ c.T) - (half[cell] - (x * c[cell]).sum(axis=1))[:, None]
         apart = np.sqrt(np.maximum(0, 2 * (half[cell][:, None] + half[None, :] - c[cell] @ c.T)))
-        return (gap <= (self.reach + 1e-9) * apart + 1e-9) & (np.arange(len(c))[None, :] <= cell[:, None])
+        slack = self.reach / 2 * min(1.0, self.sure / math.sqrt(x.shape[1]))
+        return (gap <= (slack + 1e-9) * apart + 1e-9) | (np.arange(len(c))[None, :] == cell[:, None])
 
     def far(self, q: np.ndarray, cell: int, code: np.ndarray) -> np.ndarray:
         """Table distances of each query to each code of a cell."""
@@ -83,6 +84,7 @@ def links(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector: str
     """vec_id, n_links, component_id, kept for every row."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    raw = np.float64 if df.schema[vector].dataType.elementType.typeName() == "double" else np.float32  # as they came
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("v")).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), F.col("v")))
     rows = rows.withColumn("ok", F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
     classes = stored(rows.where("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("v").alias("v")), "vector-classes")
@@ -91,12 +93,10 @@ def links(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector: str
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, m in rows_of(batch.column("v")):
-                top = np.abs(m).max(axis=1, keepdims=True)
-                x = m / top  # neither overflows nor vanishes when squared
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(m)
                 cell, code, error = quantiser.encode(x)
                 at = pa.array(k)
-                yield pa.RecordBatch.from_pydict({"n": pa.array(np.full(len(x), x.shape[1], np.int32)), "cell": pa.array(cell.astype(np.int32)), "h1": batch.column("h1").take(at), "h2": batch.column("h2").take(at), "weight": batch.column("weight").take(at), "code": binary(code), "error": pa.array(error), "x": binary(x)})
+                yield pa.RecordBatch.from_pydict({"n": pa.array(np.full(len(x), x.shape[1], np.int32)), "cell": pa.array(cell.astype(np.int32)), "h1": batch.column("h1").take(at), "h2": batch.column("h2").take(at), "weight": batch.column("weight").take(at), "code": binary(code), "error": pa.array(error), "x": binary(m.astype(raw))})
 
     coded = stored(classes.select("h1", "h2", "weight", "v").mapInArrow(encode, "n int, cell int, h1 bigint, h2 bigint, weight bigint, code binary, error double, x binary"), "codes")
     # As many figures as there are lists: at most LISTS for each length of vector.
@@ -111,7 +111,7 @@ def links(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector: str
                 at = np.flatnonzero(n == size)
                 for lo in range(0, len(at), 1024):
                     part = batch.take(pa.array(at[lo : lo + 1024]))
-                    cell, x = part.column("cell").to_numpy(), matrix(part.column("x"))
+                    cell, x = part.column("cell").to_numpy(), _unit(matrix(part.column("x"), raw).astype(np.float64))
                     own = part.column("h1").to_numpy().view(np.uint64) % np.array([blocks[size, c] for c in cell.tolist()], np.uint64)
                     i, c = np.nonzero(quantiser.probes(x, cell))
                     times = np.array([blocks.get((size, k), 0) for k in c.tolist()], np.int64)
@@ -137,7 +137,7 @@ def links(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector: str
                 if now != key:
                     if block:
                         yield from block.rest()
-                    key, block = now, _Block(quantiser, now)
+                    key, block = now, _Block(quantiser, now, raw)
                 if k5[lo, 3] == 0:
                     block.add(part)
                 else:
@@ -161,11 +161,17 @@ def links(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector: str
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; sizes neither overflow nor vanish when squared."""
+    x = m / np.abs(m).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class _Block:
     """The members of a block, and what the queries that visit it find."""
 
-    def __init__(self, quantiser: Quantiser, key: tuple[int, int, int]) -> None:
-        self.quantiser, self.key, self.parts = quantiser, key, []
+    def __init__(self, quantiser: Quantiser, key: tuple[int, int, int], raw: type) -> None:
+        self.quantiser, self.key, self.raw, self.parts = quantiser, key, raw, []
         self.ready = False
 
     def add(self, part: pa.RecordBatch) -> None:
@@ -174,7 +180,8 @@ class _Block:
     def _open(self) -> None:
         t = pa.Table.from_batches(self.parts)
         self.h1, self.h2, self.weight = (t.column(c).to_numpy() for c in ("h1", "h2", "weight"))
-        self.code, self.error, self.x = matrix(t.column("code"), np.uint8), t.column("error").to_numpy(), matrix(t.column("x"))
+        self.code, self.error, self.x = matrix(t.column("code"), np.uint8), t.column("error").to_numpy(), _unit(matrix(t.column("x"), self.raw).astype(np.float64))
+        self.visits = self.quantiser.probes(self.x, np.full(len(self.x), self.key[1]))
         self.links, self.label = np.zeros(len(self.h1), np.int64), np.arange(len(self.h1))
         self.ready = True
 
@@ -184,9 +191,11 @@ class _Block:
         if not self.ready:
             self._open()
         _, cell, block = self.key
-        q, h1, h2, weight = matrix(part.column("x")), *(part.column(c).to_numpy() for c in ("h1", "h2", "weight"))
+        q, h1, h2, weight = _unit(matrix(part.column("x"), self.raw).astype(np.float64)), *(part.column(c).to_numpy() for c in ("h1", "h2", "weight"))
         maybe = self.quantiser.far(q, cell, self.code) - self.error[None, :] <= self.quantiser.reach
-        same = (part.column("home_cell").to_numpy() == cell) & (part.column("home").to_numpy() == block)
+        home = part.column("home_cell").to_numpy()
+        maybe &= (home >= cell)[:, None] | ~self.visits[:, home].T  # else found from the other end
+        same = (home == cell) & (part.column("home").to_numpy() == block)
         if same.any():  # each pair of a block once, and none with itself
             after = (h1[:, None] > self.h1[None, :]) | ((h1[:, None] == self.h1[None, :]) & (h2[:, None] > self.h2[None, :]))
             maybe &= ~same[:, None] | after
