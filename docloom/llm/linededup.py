@@ -22,6 +22,8 @@ _BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 #: Estimates from so much below the threshold to so much above it are counted exactly.
 NEAR = 0.25
 LG_K = 12
+#: Line hashes of 16 bytes, with places of about 40, that may be broadcast; more of them are joined by a shuffle.
+SENT_ROWS = 100_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -38,17 +40,22 @@ def boilerplate(docs: DataFrame, min_sites: int) -> DataFrame:
     lines = _lines(docs)
     spread = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
     spread = spread.where(F.col("n") >= min_sites).withColumn("sites", F.hll_sketch_estimate("sketch"))
-    spread = spread.where(F.col("sites") >= (1 - NEAR) * min_sites).select("h1", "h2", "first", (F.col("sites") > (1 + NEAR) * min_sites).alias("sure"))
+    spread = stored(spread.where(F.col("sites") >= (1 - NEAR) * min_sites).select("h1", "h2", "first", (F.col("sites") > (1 + NEAR) * min_sites).alias("sure")), "line-spread")
     near = spread.where("not sure").select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    exact = lines.join(_sent(near), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
     return spread.join(exact, ["h1", "h2"], "left").where(F.col("sure") | (F.col("exact") >= min_sites)).select("h1", "h2", "first")
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """Few keys are sent out, so that lines stay where they are and a line that is everywhere meets its key everywhere."""
+    return F.broadcast(keys) if keys.limit(SENT_ROWS + 1).count() <= SENT_ROWS else keys
+
+
 def dedup_lines(docs: DataFrame, min_sites: int = 5) -> DataFrame:
     """The columns of docs with text cut down (and n_chars to match), and n_lines, n_removed as "lines" in a last struct column."""
     own = cols(docs, "doc_id", "source", "text")
     bad = stored(boilerplate(own, min_sites), "boilerplate")
-    again = _lines(own).join(bad, ["h1", "h2"]).where(F.col("at") != F.col("first"))
+    again = _lines(own).join(_sent(bad), ["h1", "h2"]).where(F.col("at") != F.col("first"))
     drops = again.groupBy(F.col("at.doc_id").alias("of"), F.col("at.tie").alias("of_tie")).agg(F.sort_array(F.collect_set("at.pos")).alias("drop"))
     names = docs.columns
     d = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("d")).withColumn("tie", F.xxhash64("d.text"))
