@@ -27,7 +27,7 @@ from .common import stored
 from .components import components
 from .vectors import binary, centres, matrix, nearest, rows_of, sample
 
-LISTS, PARTS, CODES, SURE = 128, 8, 32, 4.0
+LISTS, PARTS, CODES = 128, 8, 32
 #: Vectors of a block, about.
 BLOCK = 2048
 
@@ -36,7 +36,7 @@ class Quantiser:
     """Coarse centres and codebooks for each length of vector."""
 
     def __init__(self, samples: list[np.ndarray], least: float) -> None:
-        self.least, self.reach, self.sure = least, math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9, SURE
+        self.least, self.reach = least, math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
         self.models: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
         for m in samples:
             size = np.linalg.norm(m, axis=1)
@@ -67,7 +67,7 @@ class Quantiser:
         half = (c * c).sum(axis=1) / 2
         gap = (half - x @ c.T) - (half[cell] - (x * c[cell]).sum(axis=1))[:, None]
         apart = np.sqrt(np.maximum(0, 2 * (half[cell][:, None] + half[None, :] - c[cell] @ c.T)))
-        slack = self.reach / 2 * min(1.0, self.sure / math.sqrt(x.shape[1]))
+        slack = self.reach / 2  # both ends visit: of a link, one end is at most half of it from the plane between the cells
         return (gap <= (slack + 1e-9) * apart + 1e-9) | (np.arange(len(c))[None, :] == cell[:, None])
 
     def far(self, q: np.ndarray, cell: int, code: np.ndarray) -> np.ndarray:

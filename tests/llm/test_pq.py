@@ -44,6 +44,15 @@ def test_against_brute_force(spark, monkeypatch, block, spread):
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("dim,rank", [(64, 3), (256, 4)])
+def test_clusters_of_low_rank_in_many_dimensions(spark, dim, rank):
+    rng = np.random.default_rng(dim)
+    flat = rng.normal(0, 1, (900, rank)) @ np.linalg.qr(rng.normal(0, 1, (dim, rank)))[0].T
+    rows = [(i, [float(c) for c in np.float32(v)], 1) for i, v in enumerate(np.concatenate([flat, rng.normal(0, 1, (300, dim))]))]
+    got = pq.links(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     assert pq.links(spark.createDataFrame([], SCHEMA)).count() == 0
 
