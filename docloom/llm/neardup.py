@@ -1,11 +1,10 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Every document's shingle set gives a signature of TREES x DEPTH minima. Documents with equal sets are one class from
-there on. Each tree sorts the classes by its DEPTH minima, range-partitioned, so that classes with long common
-prefixes are neighbours and no prefix, however common, lands in one task. A region holds the neighbours that share a
-prefix of SHORT minima; a region of more than REGION classes is cut at the next minimum, and so on, so depth follows
-density; where all minima agree it is read in overlapping windows. Within a region pairs are compared by one bit of
-each minimum.
+there on. In each tree a region holds the classes that share a prefix of SHORT minima. Prefixes are counted first; one of
+more than REGION classes is dealt into blocks of about that many, and every pair of its blocks is a region of its own, so
+that all its pairs are compared, no prefix, however common, lands in one task, and what is found doesn't depend on how
+many documents share it. Within a region pairs are compared by one bit of each minimum.
 
 Links are confirmed on full sets, in three steps that never write all pairs of a group: (1) each class with its most
 similar neighbour; (2) components of these links; (3) in regions with more than one component, every pair across
@@ -90,87 +89,67 @@ def _agree(s0: np.ndarray, s1: np.ndarray, i, j) -> np.ndarray:
 
 
 def find_regions(least: int) -> Callable:
-    """Rows of the sorted trees -> region, doc, s0, s1, best (its most similar neighbour there), agree."""
+    """Rows sorted by region, then doc -> region, doc, s0, s1, best (its most similar neighbour there), agree."""
     few = 4
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
-        def close(key, doc, s0, s1) -> Iterator[pa.RecordBatch]:
+        def close(region, doc, s0, s1) -> Iterator[pa.RecordBatch]:
             n = len(doc)
-            new = np.ones(n, bool)
-            new[1:] = (key[1:, : 1 + 2 * SHORT] != key[:-1, : 1 + 2 * SHORT]).any(axis=1)
-            begin = np.flatnonzero(new)
+            begin = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
             size = np.diff(np.append(begin, n))
             of = np.repeat(np.arange(len(begin)), size)
             small = (size <= few)[of]
-            found: list[tuple[np.ndarray, ...]] = []  # i, j, agree, region
+            found: list[tuple[np.ndarray, ...]] = []  # i, j, agree
             for lag in range(1, few):
                 i = np.flatnonzero(small[:-lag] & (of[:-lag] == of[lag:])) if n > lag else np.zeros(0, np.int64)
                 a = _agree(s0, s1, i, i + lag)
                 ok = (a >= least) & (doc[i] != doc[i + lag])
-                i, a = i[ok], a[ok]
-                if len(i):
-                    names = {k: _name(key[begin[k], : 1 + 2 * SHORT]) for k in np.unique(of[i]).tolist()}
-                    found.append((i, i + lag, a, np.array([names[k] for k in of[i].tolist()], np.int64)))
-
-            def whole(lo: int, hi: int, name: int) -> None:
-                a = TREES * DEPTH - np.bitwise_count(s0[lo:hi, None] ^ s0[None, lo:hi]).astype(np.int16) - np.bitwise_count(s1[lo:hi, None] ^ s1[None, lo:hi])
-                i, j = np.nonzero(np.triu(a >= least, 1))
-                ok = doc[lo + i] != doc[lo + j]
-                i, j = i[ok], j[ok]
-                # The best of each is enough here.
-                both, other, score = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(a[i, j], 2)
-                order = np.lexsort((doc[lo + other], -score, both))
-                own, first = np.unique(both[order], return_index=True)
-                pick = order[first]
-                found.append((lo + own, lo + other[pick], score[pick], np.full(len(own), name, np.int64)))
-
-            def cut(lo: int, hi: int, depth: int) -> None:
-                if hi - lo <= REGION:
-                    if hi - lo > 1:
-                        whole(lo, hi, _name(key[lo, : 1 + 2 * depth]))
-                elif depth < DEPTH:
-                    part = key[lo:hi, 1 + 2 * depth : 3 + 2 * depth]
-                    edges = [lo, *(np.flatnonzero((part[1:] != part[:-1]).any(axis=1)) + lo + 1).tolist(), hi]
-                    for x, y in zip(edges, edges[1:]):
-                        cut(x, y, depth + 1)
-                else:
-                    for x in range(lo, hi - REGION // 2, REGION // 2):
-                        whole(x, min(x + REGION, hi), _name(key[x], int(doc[x])))
-
+                found.append((i[ok], i[ok] + lag, a[ok]))
             for k in np.flatnonzero(size > few).tolist():
-                cut(int(begin[k]), int(begin[k] + size[k]), SHORT)
-            if found:
-                i, j, a, r = (np.concatenate(x) for x in zip(*found))
-                i, j, a, r = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(a, 2), np.tile(r, 2)
-                order = np.lexsort((doc[j], -a, i, r))
-                first = np.ones(len(order), bool)
-                first[1:] = (i[order][1:] != i[order][:-1]) | (r[order][1:] != r[order][:-1])
-                k = order[first]
-                yield pa.RecordBatch.from_pydict({"region": pa.array(r[k]), "doc": pa.array(doc[i[k]]), "s0": pa.array(s0[i[k]].view(np.int64)), "s1": pa.array(s1[i[k]].view(np.int64)), "best": pa.array(doc[j[k]]), "agree": pa.array(a[k].astype(np.int32))})
+                lo, hi = int(begin[k]), int(begin[k] + size[k])
+                a = TREES * DEPTH - np.bitwise_count(s0[lo:hi, None] ^ s0[None, lo:hi]).astype(np.int16) - np.bitwise_count(s1[lo:hi, None] ^ s1[None, lo:hi])
+                a[doc[lo:hi, None] == doc[None, lo:hi]] = -1
+                # The best of each is enough here: of equal ones the least doc, as they are sorted.
+                other = a.argmax(axis=1)
+                score = a[np.arange(hi - lo), other]
+                own = np.flatnonzero(score >= least)
+                found.append((lo + own, lo + other[own], score[own]))
+            i, j, a = (np.concatenate(x) for x in zip(*found))
+            if len(i):
+                i, j, a = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(a, 2)
+                order = np.lexsort((doc[j], -a, i))
+                k = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])]
+                yield pa.RecordBatch.from_pydict({"region": pa.array(region[i[k]]), "doc": pa.array(doc[i[k]]), "s0": pa.array(s0[i[k]].view(np.int64)), "s1": pa.array(s1[i[k]].view(np.int64)), "best": pa.array(doc[j[k]]), "agree": pa.array(a[k].astype(np.int32))})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            buf, offs = bytes_of(batch.column("key"))
-            held.append((buf[offs[0] : offs[-1]].reshape(-1, 1 + 2 * DEPTH), batch.column("doc").to_numpy(), batch.column("s0").to_numpy().view(np.uint64), batch.column("s1").to_numpy().view(np.uint64)))
-            key, doc, s0, s1 = (np.concatenate(x) for x in zip(*held))
-            new = np.flatnonzero((key[1:, : 1 + 2 * SHORT] != key[:-1, : 1 + 2 * SHORT]).any(axis=1)) + 1
+            region, doc, s0, s1 = (batch.column(x).to_numpy() for x in ("region", "doc", "s0", "s1"))
+            held.append((region, doc, s0.view(np.uint64), s1.view(np.uint64)))
+            region, doc, s0, s1 = (np.concatenate(x) for x in zip(*held))
+            new = np.flatnonzero(region[1:] != region[:-1]) + 1
             end = int(new[-1]) if len(new) else 0
-            if not end and len(doc) > 64 * REGION:  # a region larger than memory should hold is cut where we are
-                end = len(doc) - REGION // 2
             if end:
-                yield from close(key[:end], doc[:end], s0[:end], s1[:end])
-            held = [(key[end:], doc[end:], s0[end:], s1[end:])]
+                yield from close(region[:end], doc[:end], s0[:end], s1[:end])
+            held = [(region[end:], doc[end:], s0[end:], s1[end:])]
         if held:
-            yield from close(*(np.concatenate(x) for x in zip(*held)))
+            yield from close(*held[0])
 
     return work
 
 
-def _name(key: np.ndarray, more: int = 0) -> int:
-    return int.from_bytes(hashlib.blake2b(key.tobytes() + more.to_bytes(8, "little", signed=True), digest_size=8).digest(), "little", signed=True)
+def regions(own: DataFrame) -> DataFrame:
+    """rep, sig, s0, s1 of the classes -> region, doc, s0, s1: a row for each region that a class is in."""
+    keys = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 1 + 2 * DEPTH * t, 2 * SHORT)) for t in range(TREES)])
+    trees = own.select(F.explode(keys).alias("prefix"), F.col("rep").alias("doc"), "s0", "s1")
+    large = stored(trees.groupBy("prefix").count().where(F.col("count") > REGION).select("prefix", F.ceil(F.col("count") / REGION).alias("blocks")), "large-prefixes")
+    dealt = trees.join(large, "prefix", "left").withColumn("block", F.pmod(F.xxhash64("doc", "s0", "s1"), F.col("blocks")))
+    # Every pair of blocks once; pairs of one block are in each of them.
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block"))
+    names = F.transform(others, lambda x: F.xxhash64(F.col("prefix"), F.least(x, F.col("block")), F.greatest(x, F.col("block"))))
+    return dealt.select(F.explode(F.when(F.col("blocks").isNull(), F.array("prefix")).otherwise(names)).alias("region"), "doc", "s0", "s1")
 
 
 def _by_region(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -193,25 +172,39 @@ def _by_region(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Tabl
 def join_labels(n: int, percent: int) -> Callable:
     """Rows region, doc, label, text by region -> a, b: links that join its labels, at most one less than it has labels.
 
-    Sets are compared in full. The shingles of a region are numbered; one pass over them gives the intersections of a
-    document with all others. Documents of the region's commonest label are only compared with others."""
+    Sets are compared in full. The shingles of a region are numbered; intersections are a matrix product over the common
+    ones and, for a document with all others, one pass over the rest; what only one document has is in none. Documents
+    of the region's commonest label are only compared with others."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in _by_region(batches):
             doc, label = t.column("doc").to_numpy(), t.column("label").to_numpy().copy()
             sets, at = document_sets(*bytes_of(t.column("text")), n)
-            size, number = np.diff(at), np.unique(sets, return_inverse=True)[1]
+            size, (number, times) = np.diff(at), np.unique(sets, return_inverse=True, return_counts=True)[1:]
             if not len(number):
                 continue
-            mark = np.zeros(number.max() + 1, np.int32)
+            row = np.repeat(np.arange(len(doc)), size)
+            common = np.flatnonzero(times > max(32, len(doc) // 8))
+            shared = np.zeros((len(doc), len(doc)), np.float32)
+            for lo in range(0, len(common), 2048):
+                place = np.full(len(times), -1)
+                place[common[lo : lo + 2048]] = np.arange(len(common[lo : lo + 2048]))
+                k = np.flatnonzero(place[number] >= 0)
+                m = np.zeros((len(doc), len(common[lo : lo + 2048])), np.float32)
+                m[row[k], place[number[k]]] = 1
+                shared += m @ m.T
+            times[common] = 0
+            k = np.flatnonzero(times[number] > 1)
+            number, at = number[k], np.concatenate([[0], np.cumsum(np.bincount(row[k], minlength=len(doc)))])
+            mark = np.zeros(len(times), np.int32)
             names, count = np.unique(label, return_counts=True)
             out: list[tuple[int, int]] = []
             for i in np.flatnonzero(label != names[np.argmax(count)]).tolist():
-                own = number[at[i] : at[i + 1]]
-                if not len(own):
+                if not size[i]:
                     continue
+                own = number[at[i] : at[i + 1]]
                 mark[own] = 1
-                same = np.add.reduceat(np.append(mark[number], 0), at[:-1])
+                same = shared[i].astype(np.int64) + np.diff(np.append(0, np.cumsum(mark[number]))[at])
                 mark[own] = 0
                 near = np.flatnonzero((size > 0) & (100 * same >= percent * (size + size[i] - same)) & (label != label[i]))
                 for k, j in zip(*np.unique(label[near], return_index=True)):
@@ -260,10 +253,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     classes = stored(linked.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     own = stored(linked.join(classes, "digest").where("doc_id = rep").select("rep", "digest", "sig", "s0", "s1").dropDuplicates(["rep", "digest"]), "class-signatures")
 
-    keys = F.array(*[F.concat(F.unhex(F.lit(f"{t:02x}")), F.substring("sig", 1 + 2 * DEPTH * t, 2 * DEPTH)) for t in range(TREES)])
-    trees = own.select(F.explode(keys).alias("key"), F.col("rep").alias("doc"), "s0", "s1")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sort = trees.repartitionByRange(parts, "key", "doc").sortWithinPartitions("key", "doc")
+    sort = regions(own).repartition(parts, "region").sortWithinPartitions("region", "doc")
     members = stored(sort.mapInArrow(find_regions(_floor(percent / 100, 4.0, 0.5)), "region bigint, doc bigint, s0 bigint, s1 bigint, best bigint, agree int"), "regions")
 
     texts = docs.where("doc_id is not null").join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")

@@ -83,6 +83,31 @@ def test_small_regions_and_windows(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 2)
 
 
+def planted(rng, shared, own, changed, pairs):
+    """Pairs of near copies in a template that all texts share, in any order."""
+    template, rows = [f"t{i}" for i in range(shared)], []
+    for _ in range(pairs):
+        a = [f"x{rng.randrange(10**9)}" for _ in range(own)]
+        b = a[: own - changed] + [f"y{rng.randrange(10**9)}" for _ in range(changed)]
+        rows += [template + a, template + b]
+    rng.shuffle(rows)
+    return [(i, " ".join(x), "") for i, x in enumerate(rows)]
+
+
+def whole(spark, monkeypatch, rows, region):
+    from docloom.llm import neardup
+
+    want = brute(rows, 1)
+    assert len({x[2] for x in want}) == len(rows) // 2
+    monkeypatch.setattr(neardup, "REGION", region)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, digest string"), 1).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+
+
+def test_pairs_in_a_template_that_exhausts_all_minima(spark, monkeypatch):
+    whole(spark, monkeypatch, planted(random.Random(3), 176, 24, 22, 100), 4)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
