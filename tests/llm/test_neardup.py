@@ -108,6 +108,10 @@ def test_pairs_in_a_template_that_exhausts_all_minima(spark, monkeypatch):
     whole(spark, monkeypatch, planted(random.Random(3), 176, 24, 22, 100), 4)
 
 
+def test_pairs_that_share_few_minima_with_many_others(spark, monkeypatch):
+    whole(spark, monkeypatch, planted(random.Random(4), 140, 60, 22, 100), 4)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
