@@ -131,6 +131,7 @@ request("join_to_many_sizes", "{ customer { c_custkey orders(filter: {o_totalpri
 request("join_two_level", "{ region { r_name nations { n_name customers { c_custkey } } } }", "select r_name, n_name, c_custkey from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey", lambda df: _exploded(_exploded(df, "nations", n_name="n_name", customers="customers"), "customers", c_custkey="c_custkey"))
 request("join_chain_to_one", "{ supplier { s_suppkey nation { n_name region { r_name } } } }", "select s_suppkey, n_name, r_name from supplier left join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey", lambda df: df.select("s_suppkey", "nation.n_name", "nation.region.r_name"))
 request("join_self_fk", "{ orders(filter: {o_orderkey: {_lt: 2000}}) { o_orderkey next { o_orderkey o_orderstatus } } }", "select a.o_orderkey, b.o_orderkey as next_key, b.o_orderstatus as next_status from orders a left join orders b on a.o_orderkey % 10 = 0 and b.o_orderkey = a.o_orderkey + 1 where a.o_orderkey < 2000", lambda df: df.select("o_orderkey", F.col("next.o_orderkey").alias("next_key"), F.col("next.o_orderstatus").alias("next_status")))
+request("join_self_fk_whole", "{ orders { o_orderkey next { o_orderkey o_orderstatus } } }", "select a.o_orderkey, b.o_orderkey as next_key, b.o_orderstatus as next_status from orders a left join orders b on a.o_orderkey % 10 = 0 and b.o_orderkey = a.o_orderkey + 1", lambda df: df.select("o_orderkey", F.col("next.o_orderkey").alias("next_key"), F.col("next.o_orderstatus").alias("next_status")))
 request("rel_child_limit", "{ customer { c_custkey orders(order: [{o_totalprice: DESC}], offset: 1, limit: 2) { o_orderkey } } }", "select c_custkey, o_orderkey from (select c_custkey, o_orderkey, row_number() over (partition by c_custkey order by o_totalprice desc, o_orderkey) as r from customer join orders on o_custkey = c_custkey) where r in (2, 3)", lambda df: _exploded(df, "orders", o_orderkey="o_orderkey"))
 
 # Aggregates over relations
@@ -166,6 +167,7 @@ request("group_by_relation", "{ orders(groupBy: [customer]) { customer_id n: _co
 request("group_all", "{ orders(groupBy: []) { n: _count(_group: {}) hi: _max(_group: {field: o_orderkey}) } }", "select count(*) as n, max(o_orderkey) as hi from orders")
 request("group_inner_limit", "{ patchy(groupBy: [o_orderpriority]) { o_orderpriority _group(order: [{o_totalprice: DESC}], limit: 3) { o_orderkey } } }", f"select o_orderpriority, o_orderkey from (select o_orderpriority, o_orderkey, row_number() over (partition by o_orderpriority order by o_totalprice desc nulls last, o_orderkey) as r from {PATCHY}) where r <= 3", lambda df: _exploded(df, "_group", o_orderkey="o_orderkey"))
 request("group_inner_filter", "{ orders(groupBy: [o_orderstatus]) { o_orderstatus _group(filter: {o_orderkey: {_lt: 500}}) { o_orderkey o_totalprice } } }", "select o_orderstatus, o_orderkey, o_totalprice from orders where o_orderkey < 500", lambda df: _exploded(df, "_group", o_orderkey="o_orderkey", o_totalprice="o_totalprice"))
+request("group_inner_filter_scaled", "{ orders(groupBy: [o_orderstatus]) { o_orderstatus _group(filter: {o_totalprice: {_gt: 250000}}) { o_orderkey o_totalprice } } }", "select o_orderstatus, o_orderkey, o_totalprice from orders where o_totalprice > 250000", lambda df: _exploded(df, "_group", o_orderkey="o_orderkey", o_totalprice="o_totalprice"))
 request("group_agg_limit", "{ orders(groupBy: [o_orderstatus]) { o_orderstatus x: _min(_group: {field: o_orderkey, order: {o_totalprice: DESC}, limit: 5}) } }", "select o_orderstatus, min(o_orderkey) as x from (select *, row_number() over (partition by o_orderstatus order by o_totalprice desc, o_orderkey) as r from orders) where r <= 5 group by 1")
 request("group_nested", "{ lineitem(groupBy: [l_returnflag]) { l_returnflag _group(groupBy: [l_linestatus]) { l_linestatus n: _count(_group: {}) } } }", "select l_returnflag, l_linestatus, count(*) as n from lineitem group by 1, 2", lambda df: _exploded(df, "_group", l_linestatus="l_linestatus", n="n"))
 request("group_nested_sum_of_avg", "{ lineitem(groupBy: [l_returnflag]) { l_returnflag s: _max(_group: {field: _avg}) _group(groupBy: [l_linestatus]) { l_linestatus _avg(_group: {field: l_linenumber}) } } }", "select l_returnflag, max(a) as s from (select l_returnflag, l_linestatus, avg(l_linenumber) as a from lineitem group by 1, 2) group by 1", lambda df: df.select("l_returnflag", "s"))

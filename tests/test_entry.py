@@ -43,3 +43,9 @@ def test_agrees_with_sql(spark, db, name):
 def test_subscription(spark):
     n = spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'purchase'").count()
     assert catalogue.QUERIES["subscription_batch"](spark, SF).count() == n
+
+
+def test_registered_over_whole_collections(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    assert catalogue.QUERIES["join_self_fk_whole"](spark, SF).count() == orders.count()
+    assert catalogue.QUERIES["group_inner_filter_scaled"](spark, SF).count() == orders.where("o_totalprice > 250000").count()
