@@ -30,6 +30,8 @@ _NAMED = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"
 # Element names.
 RAW = frozenset("script style title textarea noscript iframe xmp template svg math".split())
 DROPPED = frozenset("script style title textarea noscript iframe xmp template svg math head nav footer aside form button select dialog menu object canvas audio video".split())
+#: What may stand in head; anything else closes it.
+IN_HEAD = frozenset("head title base link meta style script noscript template basefont bgsound noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br-block center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option".split())
 CONTAINER = frozenset("article main section div td body html blockquote figure table ul ol dl details fieldset header".split())
@@ -126,6 +128,8 @@ def read(html: str, by_hints: bool = True) -> tuple[list[tuple[str, int, int]],
             if name in BLOCK:
                 fresh, block_tag = True, next((x for x, _ in reversed(stack) if x in BLOCK), "body")
             continue
+        if name not in IN_HEAD and (k := next((k for k, (x, _) in enumerate(stack) if x == "head"), -1)) >= 0:
+            pop(k)  # </head> may be left out
         if name in RAW and not attrs.endswith("/"):
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, pos)
             pos = end.end() if end else n

@@ -34,6 +34,11 @@ def test_hints_of_wrappers():
     assert H.main_text('<div class="menu"><p>The whole page stands in a menu, oddly.</p></div>', W) == "The whole page stands in a menu, oddly."
 
 
+@pytest.mark.parametrize("page", [PAGE.replace("</head>", ""), PAGE.replace("</head>\n<body class=\"page\">", "")])
+def test_head_without_its_end(page):
+    assert page != PAGE and H.main_text(page % ("<article>%s</article>" % BODY), W) == WANT
+
+
 def test_best_run():
     assert H.best([1, -2, 3, 4, -1, 2, -9, 5]) == (2, 6)
     assert H.best([-1, -2]) == (0, 0)
