@@ -202,6 +202,7 @@ on_arrays("array_none", "{ embeddings(filter: {v: {_none: {_gt: 30}}}) { vec_id
 on_arrays("array_count", "{ embeddings { vec_id n: _count(v: {filter: {_gt: 10}}) } }", "select vec_id, len(list_filter(V!, lambda x: x > 10)) as n from embeddings")
 on_arrays("array_sum", "{ embeddings { vec_id s: _sum(v: {}) } }", "select vec_id, list_sum(V!)::bigint as s from embeddings")
 on_arrays("array_avg", "{ embeddings { vec_id s: _avg(v: {filter: {_gt: 1000}}) } }", "select vec_id, 0.0::double as s from embeddings")
+on_arrays("array_avg_all", "{ embeddings { vec_id s: _avg(v: {}) } }", "select vec_id, list_sum(V!)::bigint / len(V!)::double as s from embeddings")
 on_arrays("array_min", "{ embeddings { vec_id s: _min(v: {filter: {_or: [{_gt: 5}, {_eq: -1}]}}) } }", "select vec_id, list_min(list_filter(V!, lambda x: x > 5 or x = -1)) as s from embeddings")
 on_arrays("array_max", "{ embeddings { vec_id s: _max(v: {}) } }", "select vec_id, list_max(V!) as s from embeddings")
 on_arrays("array_sum_order_limit", "{ embeddings { vec_id s: _sum(v: {order: DESC, offset: 1, limit: 3}) } }", "select vec_id, list_sum(list_sort(V!, 'DESC')[2:4])::bigint as s from embeddings")

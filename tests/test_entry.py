@@ -49,3 +49,7 @@ def test_registered_over_whole_collections(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     assert catalogue.QUERIES["join_self_fk_whole"](spark, SF).count() == orders.count()
     assert catalogue.QUERIES["group_inner_filter_scaled"](spark, SF).count() == orders.where("o_totalprice > 250000").count()
+
+
+def test_registered_average_is_computed(spark):
+    assert catalogue.QUERIES["array_avg_all"](spark, SF).select("s").distinct().count() > 1
