@@ -1,6 +1,9 @@
 """The registered queries: shape, and agreement with their SQL on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -40,6 +43,18 @@ def test_agrees_with_sql(spark, db, name):
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == theirs
 
 
+def test_without_the_training_data_operators(tmp_path):
+    """The entry module and the rest of the library do without the subpackage and its tests."""
+    top = os.path.dirname(entry.__file__)
+    shutil.copytree(f"{top}/docloom", tmp_path / "docloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{top}/{name}"):
+            shutil.copy(f"{top}/{name}", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), set(e.oracle_sql()) <= set(q), 'pipeline' in q)"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert said.stdout.split() == [str(len(catalogue.queries())), "True", "False"], said.stderr
+
+
 def test_subscription(spark):
     n = spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'purchase'").count()
     assert catalogue.QUERIES["subscription_batch"](spark, SF).count() == n
