@@ -53,3 +53,42 @@ def test_rows(spark):
     assert [(r.text, r.n_chars) for r in got[:2]] == [(WANT, len(WANT)), ("", 0)]
     assert got[2].n_chars == 60_000 * 5 - 1 and got[3].text == ""
     assert H.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["related-work", "social-history", "alert-systems", "copyright-law", "menu-recipes", "no-ads", "text-block"])
+def test_names_of_what_an_article_is_about(name):
+    body = BODY.replace("<p>End.", f'<section id="{name}"><p>A section of the article on its very own matter.</p></section><p>End.')
+    want = WANT.replace("\nEnd.", "\nA section of the article on its very own matter.\nEnd.")
+    assert H.main_text(PAGE % f"<article>{body}</article>", W) == want
+    assert H.main_text(PAGE % f"<article>{body}</article>".replace("id=", "class="), W) == want
+
+
+@pytest.mark.parametrize("name", ["related-posts", "recommendedArticles", "ad", "ad-slot-3", "post-comments", "commentList", "social-share", "sidebar-left", "site-footer", "article-nav"])
+def test_names_of_what_stands_beside_one(name):
+    body = BODY.replace("<p>End.", f'<div class="x {name}"><p>Something else, of as many words as one cares to read.</p></div><p>End.')
+    assert H.main_text(PAGE % f"<article>{body}</article>", W) == WANT
+
+
+def test_weights_come_from_labelled_pages():
+    turned = H.learn(H.LABELLED, [H.LABELLED_NAMES[0].replace("ad", "zz")])
+    body = BODY.replace('class="ad"', 'class="zz"')
+    assert H.main_text(PAGE % f"<article>{body}</article>", turned) == WANT
+    assert "Buy this thing" in H.main_text(PAGE % f"<article>{body}</article>", W)
+
+
+@pytest.mark.parametrize("name", ["noscript", "svg", "iframe", "template", "math"])
+def test_what_is_never_closed_hides_nothing(name):
+    assert H.main_text(PAGE % f"<article><{name}>{BODY}</article>", W).endswith("End.")
+
+
+def test_time_grows_with_length_however_deep_it_nests():
+    import time
+
+    def took(n):
+        page = "<div>" * n + "<p>A paragraph of some words down here.</p>" + "<p>x y</p></div></i>" * n
+        t = time.process_time()
+        assert H.main_text(page, W).startswith("A paragraph of some words")
+        return time.process_time() - t
+
+    took(500)
+    assert took(20_000) < 12 * took(4_000)
