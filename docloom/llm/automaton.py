@@ -2,6 +2,8 @@
 
 Rules are parsed, laid out as one nondeterministic automaton that may start at any byte, made deterministic by
 subset construction over byte classes, and minimised by partition refinement. The result is a transition array.
+The same is made of the reversed rules, which read from right to left tells where matches start, and of rules that
+may only start at the first byte.
 scan() runs it over many pieces of text in step, so that each byte of the input is looked at once for all rules."""
 
 from __future__ import annotations
@@ -110,14 +112,27 @@ class Automaton:
     stops: np.ndarray  # bytes after which every state is the start: no match holds them
 
 
-def compile_rules(patterns: list[bytes]) -> Automaton:
+def compile_rules(patterns: list[bytes], back: bool = False, anchored: bool = False) -> Automaton:
+    """back: of the rules read from right to left. anchored: they start at the first byte only."""
     nfa = _Nfa()
     root = nfa.state()
     ends: dict[int, int] = {}
+    rims = []
     for k, pattern in enumerate(patterns):
         start = nfa.state()
+        rims.append((start, nfa.add(P.parse(pattern), start, False)))
+    if back:
+        free, on = nfa.free, nfa.on
+        nfa.free, nfa.on = [set() for _ in free], [[] for _ in on]
+        for s in range(len(free)):
+            for t in free[s]:
+                nfa.free[t].add(s)
+            for x, t in on[s]:
+                nfa.on[t].append((x, s))
+        rims = [(b, a) for a, b in rims]
+    for k, (start, end) in enumerate(rims):
         nfa.free[root].add(start)
-        ends[nfa.add(P.parse(pattern), start, False)] = 1 << k
+        ends[end] = ends.get(end, 0) | 1 << k
 
     sets = {x for row in nfa.on for x, _ in row}
     kinds: dict[tuple, int] = {}
@@ -145,7 +160,7 @@ def compile_rules(patterns: list[bytes]) -> Automaton:
     begin = closure[root]
     names, todo, rows, hits = {begin: 0}, [begin], [], []
     while len(rows) < len(todo):
-        left, to, hit = todo[len(rows)], [begin] * len(kinds), 0
+        left, to, hit = todo[len(rows)], [0 if anchored else begin] * len(kinds), 0
         while left:
             low = left & -left
             s = low.bit_length() - 1

@@ -1,9 +1,10 @@
 """Secret scans with one combined automaton.
 
 All rules are compiled into one minimal deterministic automaton and every text is scanned once, byte by byte,
-for all of them. Where a rule ends, the stretch between the nearest bytes that no match can hold is split by
-that rule's own expression into leftmost matches that do not overlap; matches whose key part is too short are
-dropped after that, as they use up their text.
+for all of them. Where a rule ends, the stretch between the nearest bytes that no match can hold is read from right to
+left by the automaton of the reversed rules, which tells for all rules at once where matches start. From the leftmost
+start, and then from the first one after each match, a third automaton, of rules that start where it does, runs as far as
+the match can go; so rules' repeats are greedy. Matches whose key part is too short are dropped after that, as they use up their text.
 
 Defined results: a null text counts as empty and has no spans; spans count code points, ends exclusive; repeated
 rows give repeated results; columns other than doc_id and text are ignored."""
@@ -11,7 +12,6 @@ rows give repeated results; columns other than doc_id and text are ignored."""
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -37,6 +37,10 @@ class Rule:
     def scanned(self) -> bytes:
         return self.pattern.removesuffix(b"+") + b"{%d}" % self.least if self.counted else self.pattern
 
+    def strict(self) -> bytes:
+        """The rule with a last group that is long enough."""
+        return self.pattern.removesuffix(b"+)") + b"{%d,})" % self.least if self.group else self.pattern
+
 
 # The base rules and well-known shapes of keys.
 BASE = (
@@ -55,7 +59,24 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = BASE + MORE) -> None:
         self.rules = rules
         self.automaton: Automaton = compile_rules([r.scanned() for r in rules])
-        self.compiled = [re.compile(r.pattern) for r in rules]
+        self.back: Automaton = compile_rules([r.pattern for r in rules], back=True)
+        self.run: Automaton = compile_rules([r.pattern for r in rules] + [r.strict() for r in rules], anchored=True)
+        self._to, self._kinds, self._hits = self.run.step.tolist(), self.run.class_of.tolist(), self.run.hits.tolist()
+        n = self.run.n_classes
+        self._dead = next((k for k, h in enumerate(self._hits) if not h and set(self._to[k * n : k * n + n]) == {k}), -1)
+
+    def _end(self, part: bytes, at: int, i: int) -> tuple[int, bool]:
+        """Where the longest match of a rule from this place ends, and whether its key part is long enough."""
+        to, kinds, hits, n, dead = self._to, self._kinds, self._hits, self.run.n_classes, self._dead
+        now, end, good, both = 0, at, False, len(self.rules)
+        for k in range(at, len(part)):
+            now = to[now * n + kinds[part[k]]]
+            if now == dead:
+                break
+            if hits[now] >> i & 1:
+                end, good = k + 1, bool(hits[now] >> (i + both) & 1)
+        rule = self.rules[i]
+        return end, good and (bool(rule.group) or end - at >= rule.least)
 
     def spans(self, buf: np.ndarray, offs: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """For each text that has any: (start, rule, end) in code points, sorted."""
@@ -71,17 +92,28 @@ class Scanner:
         todo: dict[tuple[int, int, int], int] = {}
         for d, lo, hi, b in zip(doc.tolist(), left.tolist(), right.tolist(), bits.tolist()):
             todo[d, lo, hi] = todo.get((d, lo, hi), 0) | b
-        for (d, lo, hi), b in todo.items():
+        # Where matches start, for all these stretches at once.
+        flat = np.concatenate([buf[lo:hi][::-1] for _, lo, hi in todo])
+        edge = np.concatenate([[0], np.cumsum([hi - lo for _, lo, hi in todo])])
+        from_right, starting = scan(self.back, flat, edge)
+        first = np.searchsorted(from_right, edge)
+        for k, ((d, lo, hi), b) in enumerate(todo.items()):
             part = buf[lo:hi].tobytes()
+            starts = hi - lo - 1 - (from_right[first[k] : first[k + 1]][::-1] - edge[k])
+            of = starting[first[k] : first[k + 1]][::-1]
             before = int(np.count_nonzero((buf[offs[d] : lo] & 0xC0) != 0x80))
             points = None
-            for i, rule in enumerate(self.rules):
+            for i in range(len(self.rules)):
                 if b >> i & 1:
-                    for m in self.compiled[i].finditer(part):
-                        if m.end(rule.group) - m.start(rule.group) >= rule.least:
+                    end = 0
+                    for at in starts[(of >> i & 1) > 0].tolist():
+                        if at < end:
+                            continue
+                        end, good = self._end(part, at, i)
+                        if good:
                             if points is None:
                                 points = np.concatenate([[0], np.cumsum((buf[lo:hi] & 0xC0) != 0x80)])
-                            found.setdefault(d, []).append((before + int(points[m.start()]), i, before + int(points[m.end()])))
+                            found.setdefault(d, []).append((before + int(points[at]), i, before + int(points[end])))
         for x in found.values():
             x.sort()
         return found
