@@ -9,7 +9,7 @@ SCHEMA = "vec_id long, embedding array<float>, score string"
 
 
 def brute(rows, every, k):
-    ok = [(i, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, v, *_ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, np.array([int(np.floor(256 * x)) for x in v], object)) for i, v, *_ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for q, x in ok:
         if q % every == 0:
@@ -41,3 +41,31 @@ def test_large_components_stay_exact():
     q = np.array([[rng.randrange(-(2**30), 2**30) for _ in range(4)]], float)
     y = np.array([[rng.randrange(-(2**30), 2**30) for _ in range(4)] for _ in range(3)], float)
     assert topk.products(q, y).tolist() == [[sum(int(a) * int(b) for a, b in zip(q[0], r)) for r in y]]
+
+
+def test_large_vectors_take_part(spark):
+    schema = "vec_id long, embedding array<double>, score string"
+    rows = [(0, [1.0, 0.0], ""), (1, [9e6, 0.0], ""), (2, [0.5, 0.0], ""), (50, [-3.0, 2.0], ""), (51, [1e12, 1.0], ""), (52, [-1e13, 0.0], "")]
+    got = topk.top_k(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 50, 5)
+    assert next(r.vec_id for r in got if r.query_id == 0 and r["rank"] == 1) == 51
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(spark.createDataFrame([(0, [1e300, 0.0], ""), (1, [1.0, 0.0], "")], schema)).collect()
+
+
+def test_bounds_leave_most_of_clustered_rows_alone(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(0, 1, (60, 32))
+    x = base[rng.integers(60, size=6000)] + rng.normal(0, 0.1, (6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index, _ = topk.build(spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(x)], "vec_id long, embedding array<double>, score string"), "vec_id", "embedding", 256.0)
+    q, rings = np.floor(256 * x[:200]), index.rings[32]
+    floor = np.sort(q @ np.floor(256 * x).T, axis=1)[:, -6]
+    bound = index.bounds(q)
+    visited = ((bound >= floor[:, None]) * rings[:, 2]).sum() / (200 * 6000)
+    assert visited < 0.2
+    best = np.floor(256 * x) @ q.T
+    pivot, ring, _ = index.place(np.floor(256 * x))
+    number = {(int(p), int(r)): k for k, (p, r) in enumerate(rings[:, :2])}
+    own = np.array([number[p, r] for p, r in zip(pivot.tolist(), ring.tolist())])
+    assert (best <= bound.T[own]).all()
