@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,8 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch that a Python worker gets at once, about; rows are never cut.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches for Python are bounded in bytes and not in rows alone, unless the session says how."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver's. Python workers are told where this package is, should they start elsewhere."""
+    bounded(spark)
     home = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if home not in known.split(os.pathsep):
@@ -26,9 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (tests, single machines) a temporary folder takes its place."""
+    Where that is unset a temporary folder takes its place, but only if driver and executors are one process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not at and not held.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
         at = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="docloom-")
     if not held.isDefined():
@@ -41,14 +56,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
     The tables of a session lie under one folder named by the application's id; drop_stored() removes it."""
     spark = df.sparkSession
+    bounded(spark)
     at = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Tables that stored() has written in this process, in order.
+_WRITTEN: list[str] = []
+
+
+def written() -> int:
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, first: int, last: int) -> None:
+    """Removes the tables that stored() wrote from number first to before last; nothing that is still to be computed may need them."""
+    for at in _WRITTEN[first:last]:
+        _delete(spark, at)
+    del _WRITTEN[first:last]
+
+
 def drop_stored(spark: SparkSession) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}")
+    _delete(spark, f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}")
+    _WRITTEN.clear()
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -1,14 +1,18 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Every document's shingle set gives a signature of TREES x DEPTH minima. Documents with equal sets are one class from
-there on. In each tree a region holds the classes that share a prefix of SHORT minima. Prefixes are counted first; one of
-more than REGION classes is dealt into blocks of about that many, and every pair of its blocks is a region of its own, so
-that all its pairs are compared, no prefix, however common, lands in one task, and what is found doesn't depend on how
-many documents share it. Within a region pairs are compared by one bit of each minimum.
-
-Links are confirmed on full sets, in three steps that never write all pairs of a group: (1) each class with its most
-similar neighbour; (2) components of these links; (3) in regions with more than one component, every pair across
-components. Pairs within a component can't change it, and a region gives at most one link for each component it joins.
+there on. Each tree is an order of the classes by its DEPTH minima; classes that share a prefix of SHORT of them are
+candidates of each other. A region is a prefix as long as it must be, SHORT at least, for its classes to fit into one
+task, by number and by the shingles that they hold; what is too much at full depth is dealt into blocks by a hash.
+
+Links are confirmed on full sets, in steps that never write all pairs of a group:
+(1) each class with the neighbour in its regions that agrees in most bits, one bit of each minimum; components of these;
+(2) in regions with several components, every pair across them;
+(3) where regions had to be cut deeper than SHORT, what the cuts parted: the classes of such a crowded prefix are dealt
+into blocks, each component that is large there into blocks of its own, and every pair of blocks is compared but two of
+one component. So what is found doesn't depend on how many documents share a prefix, nor on partitions.
+Pairs within a component can't change it, and a region gives at most one link for each component it joins.
+Step 3 takes time in proportion to the square of the classes that share a prefix and are not linked with each other.
 
 Defined results: a null or blank text has an empty set and links with nothing; a document with a null id links with
 nothing, has a null component and is kept; documents of one id and one set are one; repeated rows each get a row;
@@ -22,7 +26,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, cols, slices, stored
@@ -30,7 +34,8 @@ from .components import components
 from .text import shingles, word_hashes
 
 TREES, DEPTH, SHORT = 16, 8, 4
-REGION = 1024
+#: What a region holds at most: so many classes, or fewer where they have many shingles; a larger class is alone.
+REGION, ROOM = 1024, 1 << 20
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
@@ -44,6 +49,12 @@ def document_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray
     return np.concatenate(sets) if sets else sh, np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)]).astype(np.int64)
 
 
+def _sets_of(texts: pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """document_sets of any number of texts, a few at a time."""
+    got = [document_sets(buf, offs[lo : hi + 1], n) for c in texts.chunks for buf, offs in [bytes_of(c)] for lo, hi in slices(offs, 1 << 20)]
+    return np.concatenate([x for x, _ in got]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in got]))]).astype(np.int64)
+
+
 def minima(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Signatures of the texts, (texts, TREES * DEPTH) uint32; of an empty set all ones."""
     out = np.full((len(at) - 1, len(_A)), 0xFFFFFFFF, np.uint32)
@@ -140,16 +151,80 @@ def find_regions(least: int) -> Callable:
     return work
 
 
-def regions(own: DataFrame) -> DataFrame:
-    """rep, sig, s0, s1 of the classes -> region, doc, s0, s1: a row for each region that a class is in."""
-    keys = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 1 + 2 * DEPTH * t, 2 * SHORT)) for t in range(TREES)])
-    trees = own.select(F.explode(keys).alias("prefix"), F.col("rep").alias("doc"), "s0", "s1")
-    large = stored(trees.groupBy("prefix").count().where(F.col("count") > REGION).select("prefix", F.ceil(F.col("count") / REGION).alias("blocks")), "large-prefixes")
-    dealt = trees.join(large, "prefix", "left").withColumn("block", F.pmod(F.xxhash64("doc", "s0", "s1"), F.col("blocks")))
-    # Every pair of blocks once; pairs of one block are in each of them.
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block"))
-    names = F.transform(others, lambda x: F.xxhash64(F.col("prefix"), F.least(x, F.col("block")), F.greatest(x, F.col("block"))))
-    return dealt.select(F.explode(F.when(F.col("blocks").isNull(), F.array("prefix")).otherwise(names)).alias("region"), "doc", "s0", "s1")
+def trees(own: DataFrame) -> DataFrame:
+    """rep, sig, s0, s1, size of the classes -> a row for each class and tree: tree, doc, s0, s1, load, order (its minima), prefix."""
+    each = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 1 + 2 * DEPTH * t, 2 * DEPTH).alias("order")) for t in range(TREES)])
+    rows = own.select(F.col("rep").alias("doc"), "s0", "s1", (F.col("size") + ROOM // REGION).alias("load"), F.explode(each).alias("x")).select("doc", "s0", "s1", "load", "x.*")
+    return rows.withColumn("prefix", _prefix(F.col("tree"), F.col("order"), SHORT))
+
+
+def _prefix(tree: Column, order: Column, depth: int) -> Column:
+    return F.xxhash64(tree, F.substring(order, 1, 2 * depth))
+
+
+def crowded(rows: DataFrame) -> DataFrame:
+    """prefix: those of SHORT minima that hold more than fits into a region."""
+    return stored(rows.groupBy("prefix").agg(F.sum("load").alias("load")).where(F.col("load") > ROOM).select("prefix"), "crowded")
+
+
+def regions(rows: DataFrame, over: DataFrame) -> DataFrame:
+    """region, doc, s0, s1: each class in one region of each tree. over: the crowded prefixes."""
+    marked = rows.join(over.withColumn("over", F.lit(True)), "prefix", "left")
+    plain = marked.where("over is null").select(F.col("prefix").alias("region"), "doc", "s0", "s1")
+    keys = F.array(*[_prefix(F.col("tree"), F.col("order"), d) for d in range(SHORT + 1, DEPTH + 1)])
+    steps = marked.where("over").select("prefix", "doc", "s0", "s1", "load", F.posexplode(keys).alias("step", "key"))
+    full = stored(steps.groupBy("key").agg(F.sum("load").alias("load")).where(F.col("load") > ROOM).select("key", F.ceil(F.col("load") / ROOM).alias("blocks")), "crowded-deeper")
+    steps = steps.join(full, "key", "left")
+    fits = F.min(F.when(F.col("blocks").isNull(), F.struct("step", "key")))["key"]
+    last = F.max(F.when(F.col("step") == DEPTH - SHORT - 1, F.xxhash64("key", F.pmod(F.xxhash64("doc", "s0", "s1"), F.col("blocks")))))
+    deep = steps.groupBy("prefix", "doc", "s0", "s1").agg(F.coalesce(fits, last).alias("region")).select("region", "doc", "s0", "s1")
+    return plain.unionByName(deep)
+
+
+def block_pairs(rows: DataFrame, own: DataFrame, over: DataFrame, label: DataFrame) -> DataFrame:
+    """region, side, tree, doc, label, s0, s1, prefixes: the classes of crowded prefixes, once for each pair of blocks to compare.
+
+    A component that fills more than half a region has blocks of its own, which are not compared with each other."""
+    half = ROOM // 2
+    prefixes = F.concat(*[F.unhex(F.lpad(F.hex(F.hash(F.lit(t), F.substring("sig", 1 + 2 * DEPTH * t, 2 * SHORT)).bitwiseAND(F.lit(0x7FFFFFFF))), 8, "0")) for t in range(TREES)])
+    hot = rows.join(over, "prefix", "left_semi").join(own.select(F.col("rep").alias("doc"), "s0", "s1", prefixes.alias("prefixes")), ["doc", "s0", "s1"])
+    hot = hot.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("root", "doc")).drop("root", "order")
+    hot = stored(hot, "crowded-classes")
+    sums = hot.groupBy("prefix", "label").agg(F.sum("load").alias("load"))
+    large = stored(sums.where(F.col("load") > half).select("prefix", "label", F.ceil(F.col("load") / half).alias("many")), "large-components")
+    small = sums.where(F.col("load") <= half).groupBy("prefix").agg(F.ceil(F.sum("load") / half).alias("many")).withColumn("label", F.lit(None).cast("long"))
+    every = small.select("prefix", "label", "many").union(large)
+    every = every.groupBy("prefix").agg(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0).cast("long"), F.col("many") - 1), lambda k: F.struct(F.col("label").alias("of"), F.xxhash64("prefix", "label", k).alias("name"))))).alias("blocks"), F.max(F.when(F.col("label").isNull(), F.col("many"))).alias("rest"))
+    placed = hot.join(large, ["prefix", "label"], "left").join(stored(every, "blocks"), "prefix")
+    placed = placed.withColumn("of", F.when(F.col("many").isNotNull(), F.col("label")))
+    placed = placed.withColumn("block", F.xxhash64("prefix", "of", F.when(F.col("many").isNotNull(), F.pmod(F.xxhash64("doc", "s0", "s1"), F.col("many"))).otherwise(F.pmod(F.xxhash64("label"), F.col("rest")))))
+    placed = placed.withColumn("with", F.explode(F.filter("blocks", lambda b: b["of"].isNull() | F.col("of").isNull() | (b["of"] != F.col("of")))["name"]))
+    return placed.select(F.xxhash64(F.least("block", "with"), F.greatest("block", "with")).alias("region"), (F.col("block") > F.col("with")).alias("side"), "tree", "doc", "label", "s0", "s1", "prefixes")
+
+
+def find_crossing(least: int) -> Callable:
+    """Rows of block_pairs by region -> region, doc: classes that may have a link into another component, and not by an earlier tree."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for region, t in _by_region(batches):
+            doc, label, side = (t.column(c).to_numpy() for c in ("doc", "label", "side"))
+            s0, s1 = t.column("s0").to_numpy().view(np.uint64), t.column("s1").to_numpy().view(np.uint64)
+            known = np.array([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("prefixes")])
+            whole, tree = not side.any() or bool(side.all()), t.column("tree")[0].as_py()
+            found = np.zeros(len(doc), bool)
+            for lo in range(0, len(doc), 512):
+                own = slice(lo, lo + 512)
+                near = _agree(s0, s1, (own, None), (None, slice(None))) >= least
+                near &= label[own, None] != label[None, :]
+                if not whole:
+                    near &= side[own, None] != side[None, :]
+                i, j = np.nonzero(near)
+                new = ~(known[lo + i, :tree] == known[j, :tree]).any(axis=1)
+                found[lo + i[new]] = found[j[new]] = True
+            if found.any():
+                yield pa.RecordBatch.from_pydict({"region": pa.array(np.full(int(found.sum()), region)), "doc": pa.array(doc[found])})
+
+    return work
 
 
 def _by_region(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -179,7 +254,7 @@ def join_labels(n: int, percent: int) -> Callable:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in _by_region(batches):
             doc, label = t.column("doc").to_numpy(), t.column("label").to_numpy().copy()
-            sets, at = document_sets(*bytes_of(t.column("text")), n)
+            sets, at = _sets_of(t.column("text"), n)
             size, (number, times) = np.diff(at), np.unique(sets, return_inverse=True, return_counts=True)[1:]
             if not len(number):
                 continue
@@ -193,19 +268,22 @@ def join_labels(n: int, percent: int) -> Callable:
                 m = np.zeros((len(doc), len(common[lo : lo + 2048])), np.float32)
                 m[row[k], place[number[k]]] = 1
                 shared += m @ m.T
+            # The rest by lists of the documents that have a shingle.
             times[common] = 0
             k = np.flatnonzero(times[number] > 1)
             number, at = number[k], np.concatenate([[0], np.cumsum(np.bincount(row[k], minlength=len(doc)))])
-            mark = np.zeros(len(times), np.int32)
+            of = row[k][np.argsort(number, kind="stable")]
+            times[times == 1] = 0
+            first = np.cumsum(times) - times
             names, count = np.unique(label, return_counts=True)
             out: list[tuple[int, int]] = []
             for i in np.flatnonzero(label != names[np.argmax(count)]).tolist():
                 if not size[i]:
                     continue
                 own = number[at[i] : at[i + 1]]
-                mark[own] = 1
-                same = shared[i].astype(np.int64) + np.diff(np.append(0, np.cumsum(mark[number]))[at])
-                mark[own] = 0
+                many = times[own]
+                lists = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                same = shared[i].astype(np.int64) + np.bincount(of[lists], minlength=len(doc))
                 near = np.flatnonzero((size > 0) & (100 * same >= percent * (size + size[i] - same)) & (label != label[i]))
                 for k, j in zip(*np.unique(label[near], return_index=True)):
                     out.append((int(doc[i]), int(doc[near[j]])))
@@ -251,14 +329,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sigs = stored(signatures(docs, n), "signatures")
     linked = sigs.where("doc_id is not null and digest is not null")
     classes = stored(linked.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    own = stored(linked.join(classes, "digest").where("doc_id = rep").select("rep", "digest", "sig", "s0", "s1").dropDuplicates(["rep", "digest"]), "class-signatures")
+    own = linked.join(classes, "digest").where("doc_id = rep").select("rep", "digest", "sig", "s0", "s1", F.col("n_shingles").alias("size"))
+    own = stored(own.dropDuplicates(["rep", "digest"]), "class-signatures")
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sort = regions(own).repartition(parts, "region").sortWithinPartitions("region", "doc")
-    members = stored(sort.mapInArrow(find_regions(_floor(percent / 100, 4.0, 0.5)), "region bigint, doc bigint, s0 bigint, s1 bigint, best bigint, agree int"), "regions")
-
-    texts = docs.where("doc_id is not null").join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = stored(texts.withColumn("text", F.col("text")), "region-texts")
+    least = _floor(percent / 100, 4.0, 0.5)
+    rows = trees(own)
+    over = crowded(rows)
+    deeper = not over.isEmpty()
+    sort = regions(rows, over) if deeper else rows.select(F.col("prefix").alias("region"), "doc", "s0", "s1")
+    sort = sort.repartition(parts, "region").sortWithinPartitions("region", "doc", "s0", "s1")
+    members = stored(sort.mapInArrow(find_regions(least), "region bigint, doc bigint, s0 bigint, s1 bigint, best bigint, agree int"), "regions")
+
+    needed = members.select(F.col("doc").alias("doc_id"))
+    if deeper:
+        needed = needed.union(rows.join(over, "prefix", "left_semi").select("doc"))
+    texts = docs.where("doc_id is not null").join(needed.distinct(), "doc_id", "left_semi")
+    texts = stored(texts.groupBy("doc_id", F.xxhash64("text").alias("tie")).agg(F.first("text").alias("text")).drop("tie"), "region-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         needs = pairs.select("region", F.col("a").alias("doc")).union(pairs.select("region", "b")).distinct()
@@ -267,24 +354,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         rows = rows.repartition(parts, "region").sortWithinPartitions("region", "pair")
         return rows.mapInArrow(confirm(n, percent), "a bigint, b bigint")
 
+    def across(labelled: DataFrame, label: DataFrame) -> DataFrame:
+        """label, with the components joined that links across the regions of labelled (region, doc, label) join."""
+        several = labelled.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("region")
+        labelled = labelled.join(several, "region", "left_semi").distinct()
+        labelled = labelled.join(texts, labelled["doc"] == texts["doc_id"]).select("region", "doc", "label", "text")
+        more = labelled.repartition(parts, "region").sortWithinPartitions("region", "doc").mapInArrow(join_labels(n, percent), "a bigint, b bigint")
+        return components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
     best = members.groupBy("doc").agg(F.max(F.struct("agree", (-F.col("best")).alias("best"), "region")).alias("x")).select("x.region", F.least("doc", -F.col("x.best")).alias("a"), F.greatest("doc", -F.col("x.best")).alias("b"))
     first = stored(best.groupBy("a", "b").agg(F.min("region").alias("region")), "pairs")
-    links = stored(confirmed(first), "confirmed")
-    label = components(links)
-
-    labelled = members.join(label, members["doc"] == label["node"], "left").select("region", "doc", F.coalesce("root", "doc").alias("label"))
-    several = labelled.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("region")
-    labelled = labelled.join(several, "region", "left_semi").distinct()
-    labelled = labelled.join(texts, labelled["doc"] == texts["doc_id"]).select("region", "doc", "label", "text")
-    more = labelled.repartition(parts, "region").sortWithinPartitions("region", "doc").mapInArrow(join_labels(n, percent), "a bigint, b bigint")
-    more = stored(more.distinct(), "confirmed")
-    if not more.isEmpty():
-        # Links between the components that there are.
-        ends = [label.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
-        more = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        again = components(more)
-        far = again.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        label = label.join(far, "root", "left").select("node", F.coalesce("far", "root").alias("root")).union(again.join(label, "node", "left_anti").select("node", "root"))
+    label = components(confirmed(first))
+    label = across(members.join(label, members["doc"] == label["node"], "left").select("region", "doc", F.coalesce("root", "doc").alias("label")), label)
+    if deeper:
+        pairs = block_pairs(rows, own, over, label).repartition(parts, "region").sortWithinPartitions("region", "side", "doc", "s0", "s1")
+        found = stored(pairs.mapInArrow(find_crossing(least), "region bigint, doc bigint"), "crossing")
+        label = across(found.join(label, found["doc"] == label["node"], "left").select("region", "doc", F.coalesce("root", "doc").alias("label")), label)
 
     root = classes.join(label, classes["rep"] == label["node"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(root, "digest", "left")

@@ -79,6 +79,7 @@ def test_small_regions_and_windows(spark, monkeypatch):
     base = [f"w{i}" for i in range(150)]
     rows = [(i, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(99)}" for w in base), "") for i in range(150)]
     monkeypatch.setattr(neardup, "REGION", 16)
+    monkeypatch.setattr(neardup, "ROOM", 16 * 400)
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, digest string"), 2).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 2)
 
@@ -100,6 +101,7 @@ def whole(spark, monkeypatch, rows, region):
     want = brute(rows, 1)
     assert len({x[2] for x in want}) == len(rows) // 2
     monkeypatch.setattr(neardup, "REGION", region)
+    monkeypatch.setattr(neardup, "ROOM", region * 400)
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, digest string"), 1).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
 
@@ -112,11 +114,39 @@ def test_pairs_that_share_few_minima_with_many_others(spark, monkeypatch):
     whole(spark, monkeypatch, planted(random.Random(4), 140, 60, 22, 100), 4)
 
 
+def test_crowded_prefixes_and_partitions(spark, monkeypatch):
+    """Classes that all share minima, some in one large component: the same result for any number of partitions."""
+    from docloom.llm import neardup
+
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(100)]
+    texts = [" ".join(template + [f"x{rng.randrange(10**9)}" for _ in range(60)]) for _ in range(80)]
+    base = template + [f"z{i}" for i in range(60)]
+    texts += [" ".join(w if rng.random() > 0.03 else f"y{rng.randrange(99)}" for w in base) for _ in range(120)]
+    rows = [(i, x, "") for i, x in enumerate(texts)]
+    rng.shuffle(rows)
+    want = brute(rows, 2)
+    monkeypatch.setattr(neardup, "REGION", 8)
+    monkeypatch.setattr(neardup, "ROOM", 8 * 400)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "4", "23"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, digest string"), 2).collect()
+            assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [1 << 20, 10])
+def test_components(spark, monkeypatch, small):
+    from docloom.llm import components as module
+
+    monkeypatch.setattr(module, "SMALL", small)
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(100, 200)] + [(500, k) for k in range(501, 560)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(7, 7)]
     root = {}
