@@ -51,8 +51,8 @@ def _sent(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(SENT_ROWS + 1).count() <= SENT_ROWS else keys
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 5) -> DataFrame:
-    """The columns of docs with text cut down (and n_chars to match), and n_lines, n_removed as "lines" in a last struct column."""
+def dedup_lines(docs: DataFrame, min_sites: int = 5, counts_as: str = "lines") -> DataFrame:
+    """The columns of docs with text cut down (and n_chars to match), and n_lines, n_removed in a last struct column, counts_as, which docs may not have."""
     own = cols(docs, "doc_id", "source", "text")
     bad = stored(boilerplate(own, min_sites), "boilerplate")
     again = _lines(own).join(_sent(bad), ["h1", "h2"]).where(F.col("at") != F.col("first"))
@@ -70,7 +70,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = 5) -> DataFrame:
     new = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long")}
     counts = F.struct(F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"))
     counts = F.when(F.col("d.text").isNull(), F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).when(F.col("drop").isNull(), F.struct(F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).otherwise(counts)
-    return d.select(*[new.get(n, F.col(f"d.`{n}`")).alias(n) for n in names], counts.alias("lines"))
+    return d.select(*[new.get(n, F.col(f"d.`{n}`")).alias(n) for n in names], counts.alias(counts_as))
 
 
 def summary(docs: DataFrame, min_sites: int = 5) -> DataFrame:

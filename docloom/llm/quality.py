@@ -19,8 +19,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bytes_of, cols, slices, stored
 from .text import _P, _P_INV, _powers, mixed
@@ -200,15 +202,14 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: in
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pool(*bytes_of(batch.column("text")), table)
-            p = network.scores(x)
-            out = {"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32))}
-            yield pa.RecordBatch.from_pydict(out | ({"d": batch.column("d")} if keep else {}))
+            column, text = (batch.column("d"), pc.struct_field(batch.column("d"), "text")) if keep else (batch.column("doc_id"), batch.column("text"))
+            p = network.scores(pool(*bytes_of(text), table))
+            yield pa.RecordBatch.from_pydict({"score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32)), "d" if keep else "doc_id": column})
 
-    rows = cols(docs, "doc_id", "text")
+    # With keep a row goes to Python once, as a struct, so that no name of a column can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("d")) if keep else cols(docs, "doc_id", "text")
+    out = rows.mapInArrow(work, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), rows.schema[0]]))
     if keep:
-        rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("d"))
-    kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(work, f"doc_id {kinds['doc_id']}, score double, predicted int" + (f", d {kinds['d']}" if keep else ""))
+        out = out.withColumn("doc_id", F.col("d.doc_id"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted", *["d"] * keep)

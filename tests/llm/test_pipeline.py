@@ -86,3 +86,33 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_and_missing_ids_and_clashing_names(spark, tmp_path):
+    """Extra columns named like the stages' own; null ids; one id with two texts; nothing but copies goes."""
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(7, a), (7, b), (8, a), (9, c), (9, c), (None, d), (None, d), (None, c), (10, None), (11, ""), (12, b + " more")]
+    extra = "lines struct<n_removed: int>, tie string, size int, label string, text2 string, lines_ string, score double, d string, `odd name.x` int"
+    docs = spark.createDataFrame([(i, t, "en", None, None, (1,), "t", 3, "l", None, "x", 0.5, "d", 4) for i, t in rows], SCHEMA + ", " + extra)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(C.STAGES)
+
+    kept = stage["quality"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and Counter(map(str, kept.collect())) == Counter(map(str, docs.collect()))
+    lines = stage["line_dedup"](spark, kept, str(tmp_path))
+    assert lines.columns == docs.columns and Counter((r.doc_id, r.text) for r in lines.collect()) == Counter(rows)
+
+    single = stage["near_duplicates"](spark, lines, str(tmp_path)).cache()
+    assert single.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in single.collect())
+    # a: 8 is the only document of its id; b: 12 too; c: a row of 9 or the one without id; d: one row.
+    assert got[8, a] == 1 and got[12, b + " more"] == 1 and got[None, d] == 1 and got[9, c] + got[None, c] == 1
+    assert got[10, None] == 1 and got[11, ""] == 1 and sum(got.values()) == 6
+
+    mixed = stage["mixing"](spark, single, str(tmp_path))
+    assert mixed.columns == docs.columns
+    words = lambda df: sum(len((r.text or "").split()) for r in df.collect())
+    assert abs(words(mixed) - 1.5 * words(single)) <= 1
+    assert stage["tokens"](spark, mixed, str(tmp_path)).count() == mixed.count()
