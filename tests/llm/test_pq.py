@@ -34,6 +34,8 @@ def brute(rows, least=0.9):
 @pytest.mark.parametrize("block,spread", [(2048, 0.12), (40, 0.2)])
 def test_against_brute_force(spark, monkeypatch, block, spread):
     monkeypatch.setattr(pq, "BLOCK", block)
+    monkeypatch.setattr(pq, "LIST", 30)
+    monkeypatch.setattr(pq, "TURN", 10 * block)
     rng = np.random.default_rng(block)
     base = rng.normal(0, 1, (30, 16))
     vec = lambda: [float(c) for c in np.float32((base[rng.integers(30)] + rng.normal(0, spread * 2, 16)) * rng.choice([0.5, 1, 7]))]
@@ -44,8 +46,10 @@ def test_against_brute_force(spark, monkeypatch, block, spread):
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
 
 
-@pytest.mark.parametrize("dim,rank", [(64, 3), (256, 4)])
-def test_clusters_of_low_rank_in_many_dimensions(spark, dim, rank):
+@pytest.mark.parametrize("dim,rank", [(64, 3), (64, 8), (384, 4), (768, 8)])
+def test_clusters_of_low_rank_in_many_dimensions(spark, monkeypatch, dim, rank):
+    monkeypatch.setattr(pq, "LIST", 40)
+    monkeypatch.setattr(pq, "TURN", 500)
     rng = np.random.default_rng(dim)
     flat = rng.normal(0, 1, (900, rank)) @ np.linalg.qr(rng.normal(0, 1, (dim, rank)))[0].T
     rows = [(i, [float(c) for c in np.float32(v)], 1) for i, v in enumerate(np.concatenate([flat, rng.normal(0, 1, (300, dim))]))]
@@ -57,13 +61,28 @@ def test_empty_table(spark):
     assert pq.links(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_table_distance_and_error_bound_the_distance():
+def test_table_products_bound_the_cosine():
     rng = np.random.default_rng(4)
     x = rng.normal(0, 1, (500, 24))
+    x[250:] = x[:250] + rng.normal(0, 0.1, (250, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q = pq.Quantiser([x], 0.9)
-    cell, code, error = q.encode(x)
+    q = pq.Quantiser([x], 0.9, 500 * pq.LIST)
+    cell, code = q.encode(x)
+    assert len(np.unique(cell)) > 10
     for c in np.unique(cell):
         k = cell == c
-        d = np.sqrt(((x[:50, None] - x[None, k]) ** 2).sum(axis=2))
-        assert (q.far(x[:50], int(c), code[k]) - error[k] <= d + 1e-9).all()
+        linked = x[k] @ x.T >= 0.9
+        maybe = q.products(x, int(c), code[k]) >= q.floors(x[k], int(c), code[k])[:, None]
+        assert maybe[linked].all()
+        assert maybe.mean() < 0.9
+
+
+def test_a_link_across_cells_is_probed_from_one_end():
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (600, 5)) @ rng.normal(0, 1, (5, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = pq.Quantiser([x], 0.9, 600 * pq.LIST)
+    cell, _ = q.encode(x)
+    seen = q.probes(x, cell)[:, cell]
+    linked = x @ x.T >= 0.9
+    assert (seen | seen.T)[linked].all() and not (seen | seen.T).all()
