@@ -58,6 +58,9 @@ class Frame:
         self.planner, self.collection, self.df = planner, collection, df
         self.base = set(df.columns)
         self.aliases: dict[str, str] = {}
+        #: Fields of each target that a selection aggregates, and the columns of those that are joined on.
+        self.wanted: dict[str, list[str | None]] = {}
+        self.pooled: dict[tuple[str, str | None], str] = {}
 
     def kind(self, column: str) -> T.DataType:
         return self.df.schema[column].dataType
@@ -151,7 +154,7 @@ class Planner:
         parts = []
         for t in aggregate.targets:
             frame = self.frame(t.host)
-            value = self._members(frame, t, ())
+            value = self._members(frame, t, ())[0]
             parts.append(frame.df.agg(*_partials(value)))
         whole = all(isinstance(p.schema["s"].dataType, WHOLE) for p in parts)
         if not whole:
@@ -175,6 +178,10 @@ class Planner:
         else:
             if any(isinstance(x, (Select, Aggregate)) and ("_group" in (x.name, *[t.host for t in getattr(x, "targets", ())])) for x in select.items):
                 raise QueryError("_group needs groupBy")
+            for item in select.items:
+                for t in item.targets if isinstance(item, Aggregate) else ():
+                    if t.field not in frame.wanted.setdefault(_target(t), []):
+                        frame.wanted[_target(t)].append(t.field)
             for item in select.items:
                 self.item(frame, item, select)
         if after:
@@ -306,19 +313,36 @@ class Planner:
 
     # Aggregates
 
-    def _members(self, frame: Frame, t: Target, within: tuple[str, ...]) -> Column | None:
-        """Filters, orders and limits the rows of a target in frame; the column to aggregate, or None to count rows."""
+    def _members(self, frame: Frame, t: Target, within: tuple[str, ...], fields: list[str | None] | None = None) -> list[Column | None]:
+        """Filters, orders and limits the rows of a target in frame; for each field the column to aggregate, or None to count rows."""
         select = Select(t.host, filter=t.filter, order=tuple(t.order if isinstance(t.order, (list, tuple)) else [t.order] if t.order else ()), limit=t.limit, offset=t.offset)
-        value = None
-        if t.field is not None:
-            if (found := frame.field(t.field)) is None:
-                found = frame.aliased(t.field)
-            if not isinstance(found[1], NUMERIC):
-                raise QueryError(f"{t.field} is no number")
-            value = fresh("x")
-            frame.df = frame.df.withColumn(value, found[0])
+        values = []
+        for name in [t.field] if fields is None else fields:
+            value = None
+            if name is not None:
+                if (found := frame.field(name)) is None:
+                    found = frame.aliased(name)
+                if not isinstance(found[1], NUMERIC):
+                    raise QueryError(f"{name} is no number")
+                value = fresh("x")
+                frame.df = frame.df.withColumn(value, found[0])
+            values.append(value)
         self.rows(frame, select, within)
-        return None if value is None else F.col(value)
+        return [None if value is None else F.col(value) for value in values]
+
+    def _pool(self, frame: Frame, t: Target, r: Relation) -> str:
+        """The column with partial results of a target; all that a selection takes of one target is grouped and joined once."""
+        key = _target(t)
+        if (key, t.field) not in frame.pooled:
+            child = self.frame(r.target)
+            link = fresh("l")
+            child.df = child.df.withColumn(link, F.col(f"`{r.other}`")).where(F.col(link).isNotNull())
+            fields = frame.wanted.get(key) or [t.field]
+            values = self._members(child, t, (link,), fields)
+            parts = [F.struct(*_partials(value)).alias(f"p{k}") for k, value in enumerate(values)]
+            names = frame.attach(child.df.groupBy(link).agg(*parts), replace(r, other=link), [F.col(f"p{k}") for k in range(len(parts))])
+            frame.pooled |= {(key, f): name for f, name in zip(fields, names)}
+        return frame.pooled[key, t.field]
 
     def aggregate(self, frame: Frame, item: Aggregate) -> Column:
         """Partial results of each target are joined on and combined, so several targets are pooled."""
@@ -327,12 +351,7 @@ class Planner:
             if (r := frame.collection.relation(t.host)) is not None:
                 if item.name != "_count" and t.field is None:
                     raise QueryError(f"{item.name} of {t.host} needs a field")
-                child = self.frame(r.target)
-                link = fresh("l")
-                child.df = child.df.withColumn(link, F.col(f"`{r.other}`")).where(F.col(link).isNotNull())
-                value = self._members(child, t, (link,))
-                sums = child.df.groupBy(link).agg(F.struct(*_partials(value)).alias("p"))
-                name = frame.attach(sums, replace(r, other=link), [F.col("p")])[0]
+                name = self._pool(frame, t, r)
                 parts.append(F.col(name))
                 whole &= isinstance(frame.kind(name)["s"].dataType, WHOLE)
             elif t.host == "_version":
@@ -397,7 +416,7 @@ class Planner:
                         kind = rows.kind(value)
                     elif t.limit or t.offset or t.order or _has_relation(t.filter, frame.collection):
                         rows = Frame(self, frame.collection, base)
-                        value = self._members(rows, t, tuple(keys))
+                        value = self._members(rows, t, tuple(keys))[0]
                         joined.append(rows.df.groupBy(*keys).agg(F.struct(*_partials(value)).alias(name)))
                         kind = frame.kind(self.key_column(frame, t.field)) if t.field else T.LongType()
                     else:
@@ -494,6 +513,10 @@ def _has_relation(condition, collection: Collection) -> bool:
     return isinstance(condition, list) and any(_has_relation(x, collection) for x in condition)
 
 
+def _target(t: Target) -> str:
+    return repr((t.host, t.filter, t.order, t.limit, t.offset))
+
+
 def _partials(value: Column | None, test: Column | None = None) -> list[Column]:
     """n rows, m that are not null, their sum and extremes."""
     if value is None:
