@@ -170,6 +170,8 @@ def json_leaf(text: Column, path: list[str], ops) -> Column:
     def typed(c) -> tuple[Column, T.DataType]:
         if isinstance(c, bool):
             return truth, T.BooleanType()
+        if isinstance(c, int) and 2**53 <= abs(c) < 10**27:  # more digits than a double has
+            return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, at, "decimal(38,10)")), T.DecimalType(38, 10)
         return (number, T.DoubleType()) if isinstance(c, (int, float)) else (string, T.StringType())
 
     def equal(c) -> Column:
