@@ -76,3 +76,9 @@ class History:
         """Documents of all versions as of the wanted one. Where a field is missing it is null."""
         parts = [chain(*self.path(v, wanted))(df) for v, df in versions.items()]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def write_back(self, versions: dict[str, DataFrame], wanted: str, path: str) -> dict[str, DataFrame]:
+        """Stores documents of all versions as of the wanted one at path, so that they are migrated once; what versions are from then on."""
+        df = self.read(versions, wanted)
+        df.write.parquet(path)
+        return {wanted: df.sparkSession.read.schema(df.schema).parquet(path)}
