@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -72,6 +74,12 @@ class Collection:
     def relation(self, name: str) -> Relation | None:
         return self.relations.get(name)
 
+    @property
+    def version(self) -> str:
+        """The same for the same declared fields."""
+        said = json.dumps([self.name, [(n, f.kind, f.merge) for n, f in sorted(self.fields.items())]])
+        return "v" + hashlib.sha256(said.encode()).hexdigest()
+
 
 class Catalog:
     def __init__(self, collections: list[Collection] | None = None) -> None:

@@ -31,10 +31,16 @@ class View:
     path: str | None  # where it is kept, if it is materialized
 
 
+#: So many mutations of a collection, or batches of commits, stay as they were appended; then they are put together.
+PIECES = 16
+
+
 class Engine:
     def __init__(self, spark: SparkSession, collections: list[Collection] | None = None) -> None:
         self.spark, self.catalog = spark, Catalog(collections)
         self.commits: DataFrame | None = None
+        self._pieces: dict[str, int] = {}
+        self._embedders: dict = {}
         self.views: dict[str, View] = {}
         self.planner = Planner(self.catalog, self._versions)
 
@@ -135,8 +141,13 @@ class Engine:
         c, a = self.catalog[m.collection], m.arguments
         if m.action == "create":
             docs = a.get("input")
-            df, ids = mutate.create(c, c.documents(), [docs] if isinstance(docs, dict) else list(docs or ()))
-            self.catalog.put(c.name, lambda df=cut(df): df)
+            docs = self._embedded(c, [docs] if isinstance(docs, dict) else list(docs or ()))
+            new, ids, said = mutate.create(c, c.documents(), docs)
+            new = cut(new)
+            self._check(c, new, c.documents())
+            values = log.deltas(new, c.key, {n: F.col(n) for n in c.fields}).join(said, ["docID", "fieldName"])
+            self._commit(c, values, new, "active", first=True)
+            self._append(c, c.documents().unionByName(new))
             return self.planner.plan(replace(m.select, doc_ids=tuple(ids)))
         if m.action == "upsert":
             if any(a.get(k) is None for k in ("filter", "create", "update")):
@@ -149,10 +160,109 @@ class Engine:
                 return self.mutate(Mutation("create", m.collection, {"input": a["create"]}, m.select))
             return self.mutate(Mutation("update", m.collection, {"filter": a["filter"], "input": a["update"]}, m.select))
         df, match = self._match(c, a.get("docID"), a.get("filter"))
-        df = cut(mutate.update(c, df, match, a.get("input") or {}) if m.action == "update" else mutate.delete(df, match))
-        self.catalog.put(c.name, lambda: df.drop("__match"))
+        touched = df.where(match).drop("__match")
+        patch = a.get("input") or {}
+        if m.action == "update":
+            patch = self._embedded(c, [patch])[0]
+            changed = cut(mutate.update(c, touched, F.lit(True), patch))
+            self._check(c, changed, c.documents(), set(mutate.checked(c, patch, False)))
+            values = mutate.patched(c, patch, changed)
+            if values:
+                self._commit(c, log.deltas(changed, c.key, values), changed, "active")
+        else:
+            changed = cut(mutate.delete(touched, F.lit(True)))
+            none = self.spark.createDataFrame([], "docID string, fieldName string, delta string")
+            self._commit(c, none, changed, "deleted")
+        before = c.documents()
+        self._append(c, before.join(changed.select(c.key), c.key, "left_anti").select(before.columns).unionByName(changed))
         # The result is of the documents that matched before the change.
-        return self.planner.plan(replace(m.select, show_deleted=True), df.where("__match").drop("__match"))
+        return self.planner.plan(replace(m.select, show_deleted=True), changed)
+
+    def _append(self, c: Collection, df: DataFrame) -> None:
+        """What a mutation adds is kept beside what was there; only every PIECES mutations the collection is written anew."""
+        self._pieces[c.name] = self._pieces.get(c.name, 0) + 1
+        if self._pieces[c.name] >= PIECES:
+            self._pieces[c.name], df = 0, cut(df)
+        self.catalog.put(c.name, lambda: df)
+
+    def _commit(self, c: Collection, changes: DataFrame, docs: DataFrame, status: str, first: bool = False) -> None:
+        ids = docs.select(F.col(c.key).cast("string").alias("docID"))
+        new = cut(log.made(None if first else self.commits, changes.withColumn("docID", F.col("docID").cast("string")), ids, c.name, status, c.version))
+        self._add_commits(new)
+
+    def _add_commits(self, new: DataFrame) -> None:
+        self.commits = new if self.commits is None else self.commits.unionByName(new, allowMissingColumns=True)
+        self._pieces[""] = self._pieces.get("", 0) + 1
+        if self._pieces[""] >= PIECES:
+            self._pieces[""], self.commits = 0, cut(self.commits)
+
+    def _check(self, c: Collection, changed: DataFrame, others: DataFrame, fields: set[str] | None = None) -> None:
+        """Unique indexes, and that no two documents hold the same one in a one-to-one relation. fields: those that changed."""
+        for index in c.indexes:
+            names = [n for n, _ in index.fields]
+            if index.unique and (fields is None or fields & set(names)):
+                mutate.still_unique(c, changed, others, names, f"values of {', '.join(names)} must be unique")
+        for r in c.relations.values():
+            if r.own == c.key or r.many or r.target not in self.catalog or not (fields is None or r.own in fields):
+                continue
+            back = [x for x in self.catalog[r.target].relations.values() if x.target == c.name and x.other == r.own]
+            if back and not back[0].many:
+                mutate.still_unique(c, changed, others, [r.own], f"target document of {r.name} is already linked to another document")
+
+    def embed_with(self, provider: str, function) -> None:
+        """Documents that are created or updated get the embeddings that they lack and whose fields they set, from function(list of texts, model) -> list of lists."""
+        self._embedders[provider] = function
+
+    def _embedded(self, c: Collection, docs: list[dict]) -> list[dict]:
+        """The documents of a request, with embeddings added; texts go to the function in one batch for each field."""
+        docs = [dict(d) for d in docs]
+        for name, f in c.fields.items():
+            if not f.embedding or f.embedding.get("provider") not in self._embedders:
+                continue
+            sources = f.embedding.get("fields") or []
+            todo = [d for d in docs if name not in d and any(d.get(s) is not None for s in sources)]
+            if todo:
+                texts = ["\n".join(str(d[s]) for s in sources if d.get(s) is not None) for d in todo]
+                for d, v in zip(todo, self._embedders[f.embedding["provider"]](texts, f.embedding.get("model")), strict=True):
+                    d[name] = list(v)
+        return docs
+
+    # Collections by name: what requests do, for callers that have documents at hand. All but delete return the selected fields, by default the key.
+
+    def _run(self, action: str, name: str, arguments: dict, fields: tuple[str, ...]) -> DataFrame:
+        items = tuple(Plain(f) for f in fields or (self.catalog[name].key,))
+        return self.mutate(Mutation(action, name, arguments, Select(name, items)))
+
+    def create(self, name: str, document: dict, *fields: str) -> DataFrame:
+        return self._run("create", name, {"input": document}, fields)
+
+    def create_many(self, name: str, documents: list[dict], *fields: str) -> DataFrame:
+        return self._run("create", name, {"input": documents}, fields)
+
+    def update(self, name: str, doc_id: str, patch: dict, *fields: str) -> DataFrame:
+        if not self.exists(name, doc_id):
+            raise QueryError(f"no document {doc_id}")
+        return self._run("update", name, {"docID": doc_id, "input": patch}, fields)
+
+    def save(self, name: str, document: dict, *fields: str) -> DataFrame:
+        """Updates the document if its id exists, else creates it."""
+        key = self.catalog[name].key
+        rest = {k: v for k, v in document.items() if k != key}
+        if document.get(key) is not None and self.exists(name, document[key]):
+            return self.update(name, document[key], rest, *fields)
+        return self.create(name, rest, *fields)
+
+    def delete(self, name: str, doc_id: str) -> bool:
+        if not self.exists(name, doc_id):
+            raise QueryError(f"no document {doc_id}")
+        self._run("delete", name, {"docID": doc_id}, ())
+        return True
+
+    def update_with_filter(self, name: str, condition: dict, patch: dict, *fields: str) -> DataFrame:
+        return self._run("update", name, {"filter": condition, "input": patch}, fields)
+
+    def delete_with_filter(self, name: str, condition: dict, *fields: str) -> DataFrame:
+        return self._run("delete", name, {"filter": condition}, fields)
 
     def get(self, name: str, doc_id: str, show_deleted: bool = False) -> DataFrame:
         df = self.catalog[name].documents().where(F.col(self.catalog[name].key) == doc_id)
@@ -202,9 +312,7 @@ class Engine:
         self.commits = df
 
     def _log(self) -> DataFrame:
-        if self.commits is None:
-            raise QueryError("no commits are kept")
-        return self.commits
+        return log.empty(self.spark) if self.commits is None else self.commits
 
     def _commits(self, s: Select) -> DataFrame:
         ids = s.doc_ids or (None,)
@@ -240,7 +348,8 @@ class Engine:
     def merge(self, name: str, more: DataFrame) -> None:
         """Adds commits from elsewhere and folds all of them into the collection. The order in which they come makes no difference."""
         c = self.catalog[name]
-        self.commits = more if self.commits is None else self.commits.unionByName(more).dropDuplicates(["cid"])
+        known = more if self.commits is None else self.commits.unionByName(more, allowMissingColumns=True)
+        self.commits = known.dropDuplicates(["cid"])
         fields = {n: (f.merge, spark_type(f.kind).simpleString()) for n, f in c.fields.items()}
         df = crdt.fold(self.commits.where(F.col("collection") == name), fields)
         self.catalog.put(name, lambda: df)
@@ -248,12 +357,25 @@ class Engine:
     # Backup
 
     def export(self, path: str, names: list[str] | None = None) -> None:
-        live = {n: self.catalog[n].documents().where(~F.col(DELETED)).drop(DELETED) for n in names or [n for n, c in self.catalog.collections.items() if c.read and n not in self.views]}
-        backup.write_backup(live, path)
-
-    def restore(self, path: str, names: list[str]) -> None:
+        """One text file with an object {collection: [documents]}, as restore() and other stores read it."""
+        backup.write_backup(self._exported(names), path)
+
+    def export_folder(self, path: str, names: list[str] | None = None) -> None:
+        """A folder for each collection, written by many tasks at once."""
+        backup.write_folder(self._exported(names), path)
+
+    def _exported(self, names: list[str] | None) -> dict[str, DataFrame]:
+        """Live documents, each with the id that it gets where it is restored, and relations rewritten to these."""
+        names = names or [n for n, c in self.catalog.collections.items() if c.read and n not in self.views]
+        cs = {n: self.catalog[n] for n in names}
+        live = {n: c.documents().where(~F.col(DELETED)).drop(DELETED) for n, c in cs.items()}
+        return backup.with_new_ids(live, cs)
+
+    def restore(self, path: str, names: list[str], folder: bool = False) -> None:
+        """Documents of the collections from export(), or from export_folder(), under their new ids."""
         schemas = {n: self.catalog[n].documents().drop(DELETED).schema for n in names}
-        for n, df in backup.read_folder(self.spark, path, schemas).items():
+        read = backup.read_folder if folder else backup.read_backup
+        for n, df in read(self.spark, path, schemas, {n: self.catalog[n].key for n in names}).items():
             self.load(n, df)
 
 

@@ -8,14 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import Collection, Relation
+from ..catalog import Collection, Index, Relation
 from ..engine import Engine
 from ..functions import arrays, crdt
 from ..operators import lens, mutate
 from ..sources import backup
 from ..sources import commits as log
+from ..sources.storage import shared_dir
 from ..spec import Plain, Select
 from ..streaming import merge
+from ..types import QueryError
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "labels": "doc_id", "conversations": "conv_id", "pages": "page_id"}
 #: name, target, several, own column, other column
@@ -294,9 +296,7 @@ _VIEW_SQL = "select key, status from (select o_orderkey as key, o_orderstatus as
 
 
 def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-")) + f"/view-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/view-{uuid.uuid4().hex}"
 
 
 @operation("view_cacheless", _VIEW_SQL)
@@ -330,6 +330,17 @@ def lens_versions(spark, sf_dir):
     return h.read({"1": n.where("id % 2 = 0"), "3": n.where("id % 2 = 1").withColumn("tag", F.lit("kept"))}, "3")
 
 
+@operation("lens_write_back", "select n_nationkey as id, n_name as name, case when n_nationkey % 2 = 0 then 'old' else 'kept' end as tag from nation where n_nationkey <> 3")
+def lens_write_back(spark, sf_dir):
+    """Migrated documents are stored; then one version is left, which is read both as it is and as the one before it."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    h = lens.History()
+    h.migrate("1", "2", lens.set_default("tag", "old"), lens.remove("tag"))
+    stored = h.write_back({"1": n.where("id % 2 = 0"), "2": n.where("id % 2 = 1").withColumn("tag", F.lit("kept"))}, "2", _shared(spark))
+    before = h.read(stored, "1").where("id <> 3")
+    return h.read(stored, "2").join(before, ["id", "name"])
+
+
 # Mutations: as new states of a table
 @operation("mutate_update", "select o_orderkey, case when coalesce(o_totalprice > 200000, false) then 'X' else o_orderstatus end as o_orderstatus from " + PATCHY)
 def mutate_update(spark, sf_dir):
@@ -379,12 +390,134 @@ def permissioned(spark, sf_dir):
 def backup_export(spark, sf_dir):
     e = engine(spark, sf_dir)
     at = _shared(spark)
-    backup.write_backup({"region": e.catalog["region"].read()}, at)
+    backup.write_folder({"region": e.catalog["region"].read()}, at)
     back = backup.read_folder(spark, at, {"region": e.catalog["region"].read().schema})["region"]
     return back.select(F.lit("region").alias("collection"), F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
 
 
-@operation("subscription_batch", None)
+@operation("backup_file", "select n_name as name, n_regionkey as region, r_name as of from nation join region on n_regionkey = r_regionkey")
+def backup_file(spark, sf_dir):
+    """One file with all collections, restored into another engine whose relations still hold."""
+    at, schema = _shared(spark), "type Region { key: Int name: String nations: [Nation] } type Nation { name: String region_key: Int region: Region }"
+    e = Engine(spark)
+    e.add_schema(schema)
+    region, nation = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("region", "nation"))
+    e.load("Region", region.select(F.concat(F.lit("bae-r"), F.col("r_regionkey").cast("string")).alias("_docID"), F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")))
+    e.load("Nation", nation.select(F.concat(F.lit("bae-n"), F.col("n_nationkey").cast("string")).alias("_docID"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region_key"), F.concat(F.lit("bae-r"), F.col("n_regionkey").cast("string")).alias("region_id")))
+    e.export(at, ["Region", "Nation"])
+    back = Engine(spark)
+    back.add_schema(schema)
+    back.restore(at, ["Region", "Nation"])
+    return back.request("{ Nation { name region_key region { name } } }")["Nation"].select("name", F.col("region_key").alias("region"), F.col("region.name").alias("of"))
+
+
+@operation("backup_self_reference", "select a.n_name as name, b.n_name as neighbour from nation a left join nation b on b.n_nationkey = a.n_nationkey - 1")
+def backup_self_reference(spark, sf_dir):
+    """Documents that point to others of their collection, whose content changed since their ids were made."""
+    at, schema = _shared(spark), "type Nation { name: String neighbour: Nation }"
+    e = Engine(spark)
+    e.add_schema(schema)
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    name = lambda k: F.concat(F.lit("bae-"), k.cast("string"))
+    e.load("Nation", nation.select(name(F.col("n_nationkey")).alias("_docID"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") > 0, name(F.col("n_nationkey") - 1)).alias("neighbour_id")))
+    e.export(at, ["Nation"])
+    back = Engine(spark)
+    back.add_schema(schema)
+    back.restore(at, ["Nation"])
+    return back.request("{ Nation { name neighbour { name } } }")["Nation"].select("name", F.col("neighbour.name").alias("neighbour"))
+
+
+_USERS = 'mutation { create_User(input: [{name: "Ann", age: 30, points: 1}, {name: "Bob", age: 40}]) { name } }'
+
+
+def _users(spark: SparkSession) -> Engine:
+    """Two users; Ann's age is changed, her points grow, Bob goes."""
+    e = Engine(spark)
+    e.add_schema("type User { name: String age: Int points: Int @crdt(type: pncounter) }")
+    e.request(_USERS)
+    e.request('mutation { update_User(filter: {name: {_eq: "Ann"}}, input: {age: 31, points: 4}) { name } }')
+    e.request('mutation { delete_User(filter: {name: {_eq: "Bob"}}) { name } }')
+    return e
+
+
+@operation("mutation_commits", """select * from (values ('_C', 1::bigint, 2::bigint, 5::bigint), ('_C', 2, 2, 2), ('age', 1, 2, 0), ('age', 2, 1, 0), ('name', 1, 2, 0), ('points', 1, 1, 0), ('points', 2, 1, 0)) t("fieldName", height, n, links)""")
+def mutation_commits(spark, sf_dir):
+    """Creates, updates and deletes write commits of fields and documents that link up."""
+    return _users(spark).request("{ commits { fieldName height links { cid } } }")["commits"].groupBy("fieldName", "height").agg(F.count("*").alias("n"), F.sum(F.size("links")).cast("long").alias("links"))
+
+
+@operation("mutation_version", "select 'Ann' as name, 31::bigint as age, 5::bigint as points, 2::bigint as height, 2::bigint as links")
+def mutation_version(spark, sf_dir):
+    got = _users(spark).request("{ User { name age points _version { height links { name } } } }")["User"]
+    return got.select("name", F.col("age").cast("long").alias("age"), F.col("points").cast("long").alias("points"), F.col("_version")[0]["height"].alias("height"), F.size(F.col("_version")[0]["links"]).cast("long").alias("links"))
+
+
+@operation("mutation_time_travel", "select 'Ann' as name, 30::bigint as age, 1::bigint as points")
+def mutation_time_travel(spark, sf_dir):
+    """A document as it was at its first commit."""
+    e = _users(spark)
+    first = e.commits.where("fieldName = 'age' and delta = '30'").select("docID").first()[0]
+    cid = e.commits.where((F.col("docID") == first) & (F.col("fieldName") == "_C") & (F.col("height") == 1)).first()["cid"]
+    return e.request(f'{{ User(cid: "{cid}") {{ name age points }} }}')["User"].select("name", F.col("age").cast("long").alias("age"), F.col("points").cast("long").alias("points"))
+
+
+@operation("merge_repeated", "select user_id::varchar as id, sum(floor(value)::bigint) filter (where event_type = 'view')::bigint as view from events group by 1 having count(*) filter (where event_type = 'view') > 0")
+def merge_repeated(spark, sf_dir):
+    """Commits that come twice, in one batch and in two, count once."""
+    e = Engine(spark)
+    e.add_schema("type users { view: Int @crdt(type: pncounter) }")
+    commits = commit_log(spark, sf_dir).where("fieldName = 'view'").withColumn("delta", F.floor(F.col("delta").cast("double")).cast("string"))
+    e.merge("users", commits.union(commits))
+    e.merge("users", commits)
+    return e.catalog["users"].documents().select(F.col("_docID").alias("id"), F.col("view").cast("long").alias("view"))
+
+
+@operation("one_to_one", "select 'Ann' as author, 'target document of author is already linked to another document' as refused")
+def one_to_one(spark, sf_dir):
+    """A document of a one-to-one relation is held by one other only."""
+    e = Engine(spark)
+    e.add_schema("type Author { name: String address: Address } type Address { street: String author: Author @primary }")
+    e.create("Author", {"name": "Ann"})
+    ann = e.doc_ids("Author").first()[0]
+    e.create("Address", {"street": "A", "author": ann})
+    refused = ""
+    try:
+        e.create("Address", {"street": "B", "author": ann})
+    except QueryError as x:
+        refused = str(x)
+    return e.request("{ Author { name address { street } } }")["Author"].select(F.col("name").alias("author"), F.lit(refused).alias("refused"))
+
+
+@operation("several_roots", "select 'region' as root, r_name as name from region union all select 'nation', n_name from nation where n_regionkey = 1")
+def several_roots(spark, sf_dir):
+    got = engine(spark, sf_dir).request("{ region { r_name } few: nation(filter: {n_regionkey: {_eq: 1}}) { n_name } }")
+    return got["region"].select(F.lit("region").alias("root"), F.col("r_name").alias("name")).union(got["few"].select(F.lit("nation"), "n_name"))
+
+
+@operation("commits_count_links", "select 'c' || event_id as cid, case when event_id = first then 0 else 1 end::bigint as n from (select event_id, min(event_id) over (partition by user_id, event_type) as first from events)")
+def commits_count_links(spark, sf_dir):
+    """Commits with their parents as links, which are counted."""
+    e = engine(spark, sf_dir)
+    e.load_commits(commit_log(spark, sf_dir).withColumn("links", F.transform("heads", lambda h: F.struct(F.lit("before").alias("name"), h.alias("cid")))))
+    return e.request("{ commits { cid n: _count(field: links) } }")["commits"].select("cid", F.col("n").cast("long").alias("n"))
+
+
+@operation("index_lookup", "select o_orderkey, o_totalprice from orders where o_totalprice between 200000 and 210000")
+def index_lookup(spark, sf_dir):
+    """A collection laid out by its index; the filter is pushed to the scan, which skips files and row groups by their extremes."""
+    e = engine(spark, sf_dir)
+    e.create_index("orders", Index((("o_totalprice", False),)))
+    e.write("orders", _shared(spark))
+    return e.request("{ orders(filter: {o_totalprice: {_ge: 200000, _le: 210000}}) { o_orderkey o_totalprice } }")["orders"]
+
+
+@operation("explain_execute", "select count(*)::bigint as rows from orders where o_totalprice > 200000")
+def explain_execute(spark, sf_dir):
+    got = engine(spark, sf_dir).request("query @explain(type: execute) { orders(filter: {o_totalprice: {_gt: 200000}}) { o_orderkey } }")["orders"]
+    return spark.range(1).select(F.lit(got["sizeOfResult"]).cast("long").alias("rows"))
+
+
+@operation("subscription_batch", "select event_id, user_id from events where event_type = 'purchase'")
 def subscription_batch(spark, sf_dir):
     """Changed documents arrive as files; the subscription's results are gathered and read back."""
     at = _shared(spark)
@@ -399,12 +532,17 @@ def subscription_batch(spark, sf_dir):
 @operation("stream_merge", "select user_id::varchar as doc, event_type as field, sum(floor(value)::bigint)::bigint as value from events group by 1, 2")
 def stream_merge(spark, sf_dir):
     """Counter deltas merged by a stream that keeps the sums."""
-    at, name = _shared(spark), f"merged_{uuid.uuid4().hex}"
+    at = _shared(spark)
     commit_log(spark, sf_dir).withColumn("delta", F.floor(F.col("delta").cast("double")).cast("string")).write.parquet(f"{at}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
-    q = merge.merge_counters(stream, "long").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    out = f"{at}/out"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = merge.merge_counters(stream, "long").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("docID").alias("doc"), F.col("fieldName").alias("field"), "value")
+    return spark.read.parquet(out).groupBy(F.col("docID").alias("doc"), F.col("fieldName").alias("field")).agg(F.max_by("value", "batch").alias("value"))
 
 
 @operation("similarity_cosine", "select vec_id, round(list_cosine_similarity(embedding::double[], [1.0, 2.0, 3.0, 4.0] || list_transform(range(60), lambda x: 0.0)), 6) as s from embeddings")

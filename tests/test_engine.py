@@ -165,3 +165,87 @@ def test_permissions(e, spark):
     one = e.request('{ User(filter: {name: {_eq: "Ann"}}) { _docID } }')["User"].first()[0]
     e.permitted("User", spark.createDataFrame([(one, "me"), (one, "you")], "docID string, identity string"), "me")
     assert [u[0] for u in users(e)] == ["Ann"]
+
+
+def test_collection_methods(spark):
+    e = Engine(spark)
+    e.add_schema("type User { name: String @index(unique: true) age: Int }")
+    assert [r.name for r in e.create("User", {"name": "A", "age": 1}, "name").collect()] == ["A"]
+    e.create_many("User", [{"name": "B", "age": 2}, {"name": "C", "age": 3}])
+    a = e.catalog["User"].documents().where("name = 'A'").first()["_docID"]
+    assert e.update("User", a, {"age": 10}, "age").first().age == 10
+    assert e.save("User", {"_docID": a, "age": 11}, "age").first().age == 11
+    assert e.save("User", {"name": "D", "age": 4}, "name").first().name == "D"
+    assert e.update_with_filter("User", {"age": {"_lt": 4}}, {"age": 0}, "name").count() == 2
+    assert e.delete_with_filter("User", {"age": {"_eq": 0}}, "name").count() == 2
+    assert e.delete("User", a) and not e.exists("User", a)
+    with pytest.raises(QueryError):
+        e.delete("User", a)
+    with pytest.raises(QueryError):
+        e.create("User", {"name": "D", "age": 5})
+    assert [r.name for r in e.request("{ User { name } }")["User"].collect()] == ["D"]
+    assert e.commits.where("fieldName = '_C' and status = 'deleted'").count() == 3
+
+
+def test_commits_of_mutations_fold_to_the_documents(spark):
+    e = Engine(spark)
+    e.add_schema("type User { name: String points: Int @crdt(type: pncounter) at: DateTime tags: [String] }")
+    e.create_many("User", [{"name": "A", "points": 1, "at": "2020-01-02T03:04:05Z", "tags": ["x", "y"]}, {"name": "B"}])
+    for k in range(3):
+        e.update_with_filter("User", {"name": {"_eq": "A"}}, {"points": k, "tags": [str(k)]})
+    e.delete_with_filter("User", {"name": {"_eq": "B"}})
+    now = sorted(e.catalog["User"].documents().select("_docID", "name", "at", "tags", "_deleted").collect())
+    points = {r._docID: r.points for r in e.catalog["User"].documents().collect()}
+    other = Engine(spark)
+    other.add_schema("type User { name: String points: Int @crdt(type: pncounter) at: DateTime tags: [String] }")
+    other.merge("User", e.commits.union(e.commits))
+    other.merge("User", e.commits)
+    back = other.catalog["User"].documents()
+    assert sorted(back.select("_docID", "name", "at", "tags", "_deleted").collect()) == now
+    assert {r._docID: r.points or None for r in back.collect()} == {k: v or None for k, v in points.items()}
+    heads = log.latest(e.commits).groupBy("docID", "fieldName").count()
+    assert heads.where("count > 1").isEmpty()
+
+
+def test_one_to_one_holds_on_update_and_after_deletion(spark):
+    e = Engine(spark)
+    e.add_schema("type Author { name: String address: Address } type Address { street: String author: Author @primary }")
+    e.create_many("Author", [{"name": "Ann"}, {"name": "Bob"}])
+    ann, bob = (e.catalog["Author"].documents().where(f"name = '{n}'").first()["_docID"] for n in ("Ann", "Bob"))
+    e.create("Address", {"street": "A", "author": ann})
+    e.create("Address", {"street": "B", "author": bob})
+    b = e.catalog["Address"].documents().where("street = 'B'").first()["_docID"]
+    with pytest.raises(QueryError, match="already linked"):
+        e.update("Address", b, {"author": ann})
+    e.update("Address", b, {"author": None})
+    e.create("Address", {"street": "C", "author": bob})
+    e.update("Address", b, {"street": "D"})
+    assert e.request("{ Author { name address { street } } }")["Author"].count() == 2
+
+
+def test_embeddings_come_from_a_given_function(spark):
+    e = Engine(spark)
+    e.add_schema('type Note { title: String text: String v: [Float32!] @embedding(fields: ["title", "text"], provider: "own", model: "m") }')
+    seen = []
+
+    def embed(texts, model):
+        seen.append((list(texts), model))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    e.embed_with("own", embed)
+    e.create_many("Note", [{"title": "a", "text": "bc"}, {"title": "x", "v": [9.0, 9.0]}])
+    assert seen == [(["a\nbc"], "m")]
+    assert sorted(r.v for r in e.request("{ Note { v } }")["Note"].collect()) == [[4.0, 1.0], [9.0, 9.0]]
+    e.update_with_filter("Note", {"title": {"_eq": "a"}}, {"text": "bcdef"})
+    assert seen[1] == (["bcdef"], "m")
+
+
+def test_aggregates_over_one_target_are_joined_once(spark):
+    e = Engine(spark)
+    e.add_schema("type Author { name: String books: [Book] } type Book { rating: Float pages: Int author: Author }")
+    e.load("Author", spark.createDataFrame([("a", "A"), ("b", "B")], "_docID string, name string"))
+    e.load("Book", spark.createDataFrame([("1", 1.0, 10, "a"), ("2", 3.0, 30, "a")], "_docID string, rating double, pages int, author_id string"))
+    df = e.request("{ Author(order: [{name: ASC}]) { name n: _count(books: {}) s: _sum(books: {field: rating}) p: _max(books: {field: pages}) few: _count(books: {filter: {pages: {_gt: 10}}}) } }")["Author"]
+    assert [tuple(r) for r in df.collect()] == [("A", 2, 4.0, 30, 1), ("B", 0, 0.0, None, 0)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2
