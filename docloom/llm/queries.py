@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -71,11 +72,19 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2)
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1_mixing aims at: each source's size and target."""
+    from .mixing import sized, targets
+
+    sources = sized(table(spark, sf_dir, "documents")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    return targets(sources, (5, 2, 1), 1.5, 2.0).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if (k.startswith("op") or k == "mixing_targets") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import linededup
+    from . import oracles
 
-    return {"op2_linededup": linededup.ORACLE}
+    return oracles.oracle_sql()
