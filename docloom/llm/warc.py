@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from .common import cols, shared_dir, stored
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Rows of about 200 bytes that may be broadcast; more of them are joined by a shuffle.
 SENT_ROWS = 100_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -40,12 +42,14 @@ def _line(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", "%0D"), "\n", "%0A")
 
 
-def archive(pages: DataFrame, path: str, least: int = 0) -> None:
+def archive(pages: DataFrame, path: str, least: int = 0, date: str | None = None) -> None:
     """Writes a record for each row of pages (page_id, url, html) below path, as uncompressed WARC files.
 
     Of records with equal payloads of at least `least` bytes, that with the smallest page_id (then url) is a response
     and the others are revisits of it without a payload; rows equal in all that are all responses. A null html is an
-    empty payload; a null page_id sorts last and is written as an empty id."""
+    empty payload; a null page_id sorts last and is written as an empty id. date is the time of capture, by default now,
+    as in 2020-01-02T03:04:05Z. A record's id is of its page_id, url and payload, so only rows equal in all three share one."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     p = cols(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     key = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")
@@ -56,9 +60,9 @@ def archive(pages: DataFrame, path: str, least: int = 0) -> None:
     p = p.join(F.broadcast(first) if first.count() <= SENT_ROWS else first, ["digest", "bytes"], "left")
     again = F.col("first").isNotNull() & (key != F.col("first")) & (F.col("bytes") >= least)
     crlf = "\r\n"
-    uid = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    head = F.concat(F.lit(MAGIC), F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response"), F.lit(f"{crlf}WARC-Record-ID: "), uid(F.col("page_id")), F.lit(f"{crlf}WARC-Target-URI: "), _line(F.col("url")), F.lit(f"{crlf}WARC-Payload-Digest: sha1:"), base32(F.col("digest")))
-    head = F.concat(head, F.when(again, F.concat(F.lit(f"{crlf}WARC-Refers-To: "), uid(F.col("first.page_id")), F.lit(f"{crlf}WARC-Payload-Length: "), F.col("bytes").cast("string"))).otherwise(""))
+    uid = lambda c, url: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(":"), F.sha1(F.concat(F.coalesce(url, F.lit("")), F.lit("\n"), F.col("digest"))), F.lit(">"))
+    head = F.concat(F.lit(MAGIC), F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response"), F.lit(f"{crlf}WARC-Record-ID: "), uid(F.col("page_id"), F.col("url")), F.lit(f"{crlf}WARC-Date: {date}{crlf}WARC-Target-URI: "), _line(F.col("url")), F.lit(f"{crlf}WARC-Payload-Digest: sha1:"), base32(F.col("digest")))
+    head = F.concat(head, F.when(again, F.concat(F.lit(f"{crlf}WARC-Profile: {PROFILE}{crlf}WARC-Refers-To: "), uid(F.col("first.page_id"), F.col("first.url")), F.lit(f"{crlf}WARC-Payload-Length: "), F.col("bytes").cast("string"))).otherwise(""))
     body = F.when(again, "").otherwise(F.col("html"))
     record = F.concat(head, F.lit(f"{crlf}Content-Type: text/html{crlf}Content-Length: "), F.octet_length(body).cast("string"), F.lit(END), body)
     p.select(record.alias("value")).write.option("lineSep", END).text(path)
@@ -147,7 +151,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; lengths and digests of the full payload.
 
     A response's are taken of the payload that was read; a revisit's are those of the record that it refers to."""
-    page = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(.*)>$", 1), F.lit("")).try_cast("long")
+    page = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(.*):[0-9a-f]{40}>$", 1), F.lit("")).try_cast("long")
     r = records(spark, path, {"read_bytes": F.octet_length, "sha1": F.sha1})
     response = F.col("type") == "response"
     r = r.select(page("record_id").alias("page_id"), "type", page("refers_to").alias("refers_to"), F.when(response, F.col("read_bytes")).otherwise(F.col("stated_bytes")).cast("long").alias("payload_bytes"), F.when(response, base32(F.col("sha1"))).otherwise(F.regexp_extract("digest", "^sha1:(.*)$", 1)).alias("payload_digest"))
