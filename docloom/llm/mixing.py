@@ -26,8 +26,8 @@ from .common import cols, stored
 
 #: A word, as a Java expression.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Parts of a source that are put in order on their own.
-PARTS = 1024
+#: Parts of a source that are put in order on their own, at least, and documents of the table for each of them.
+PARTS, PART_ROWS = 1024, 20_000
 ROUNDS = 24
 #: Slots that one task row unfolds.
 UNFOLD = 1024
@@ -44,10 +44,10 @@ def permuted(x: Column, n: Column, *key: Column, back: bool = False) -> Column:
     return F.aggregate(F.sequence(F.lit(ROUNDS if back else 1), F.lit(1 if back else ROUNDS)), x.cast("long"), one)
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, parts: int = PARTS) -> DataFrame:
     """doc_id, source, size, tie of every document; the texts are read here and nowhere else in the plan."""
     return cols(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)).alias("part")
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part")
     )
 
 
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     documents: doc_id, tie, size, source_size, target and the row's key (source_no, part, row), for every document.
     pieces: key, doc_id, tie, size and, for what is taken of a document by one slot, epoch (the pass over its source),
     shard, place (in the shard), first (word) and n (words); n is 0 for a block that no slot took."""
-    rows = stored(sized(docs), "mix-sizes")
+    rows = stored(sized(docs, max(PARTS, docs.count() // PART_ROWS)), "mix-sizes")
     totals = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     parts = totals.withColumn("part_start", F.sum("part_size").over(Window.partitionBy("source").orderBy("part")) - F.col("part_size"))
     sources = targets(totals.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, share, most)
