@@ -92,3 +92,37 @@ def test_time_grows_with_length_however_deep_it_nests():
 
     took(500)
     assert took(20_000) < 12 * took(4_000)
+
+
+def test_made_pages():
+    """Pages put together at random of an article and what stands around and inside it: exactly the article comes out."""
+    import html as std
+    import random
+
+    rng = random.Random(17)
+    word = lambda: rng.choice(["über", "to", "a&b", "<x>", "don't", "lé", "of", "longerword", "in", "x.", "why?"])
+    words = lambda a, b: [word() for _ in range(rng.randint(a, b))]
+    esc = lambda ws: rng.choice([" ", "  ", "\n"]).join(std.escape(w) for w in ws)
+
+    def furniture():
+        text = esc(words(1, 40))
+        return rng.choice([
+            f"<nav><ul><li><a href=x>{text}</a></li></ul></nav>", f'<div class="ad">{text}</div>', f"<aside><p>{text}</p></aside>", f"<form><p>{text}</p><input></form>", f"<script>var a='<p>{text}</p>';</script>", f"<style>p{{}}</style><!-- <p>{text}</p> -->",
+            f'<div class="sidebar widget"><p>{text}</p></div>', f'<section id="comments"><p>{text}</p></section>', f'<div class="cookie-notice"><p>{text}</p></div>', f'<ul class="share-buttons"><li>{text}</li></ul>', f"<footer>{text}</footer>",
+        ])
+
+    for _ in range(300):
+        blocks, want = [], []
+        for k in range(rng.randint(1, 9)):
+            ws = words(3, 60)
+            tag = "h1" if k == 0 else rng.choice(["p", "p", "p", "h2", "blockquote", "li"])
+            cut = rng.randint(0, len(ws) - 1)
+            inner = esc(ws[:cut]) + (" " if cut else "") + rng.choice(["<b>%s</b>", "<i>%s</i>", '<a href="/y">%s</a>', "%s"]) % esc(ws[cut:])
+            blocks.append(f"<ul><li>{inner}</li></ul>" if tag == "li" else f"<{tag}>{inner}</{tag}>" if tag != "p" or rng.random() < 0.7 else f"<p>{inner}")
+            want.append(" ".join(" ".join(ws).split()))
+            if rng.random() < 0.3:
+                blocks.append(furniture())
+        around = ["".join(furniture() for _ in range(rng.randint(0, 4))) for _ in range(2)]
+        wrap = rng.choice(["<article>%s</article>", "<main>%s</main>", '<div class="post-content">%s</div>', "<main><article>%s</article></main>"])
+        page = f"<!DOCTYPE html><html><head><title>T</title></head><body>{around[0]}{wrap % ''.join(blocks)}{around[1]}</body></html>"
+        assert H.main_text(page, W) == "\n".join(want), page

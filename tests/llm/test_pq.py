@@ -34,7 +34,7 @@ def brute(rows, least=0.9):
 @pytest.mark.parametrize("block,spread", [(2048, 0.12), (40, 0.2)])
 def test_against_brute_force(spark, monkeypatch, block, spread):
     monkeypatch.setattr(pq, "BLOCK", block)
-    monkeypatch.setattr(pq, "LIST", 30)
+    monkeypatch.setattr(pq, "ROOT", 1)
     monkeypatch.setattr(pq, "TURN", 10 * block)
     rng = np.random.default_rng(block)
     base = rng.normal(0, 1, (30, 16))
@@ -48,7 +48,7 @@ def test_against_brute_force(spark, monkeypatch, block, spread):
 
 @pytest.mark.parametrize("dim,rank", [(64, 3), (64, 8), (384, 4), (768, 8)])
 def test_clusters_of_low_rank_in_many_dimensions(spark, monkeypatch, dim, rank):
-    monkeypatch.setattr(pq, "LIST", 40)
+    monkeypatch.setattr(pq, "ROOT", 1)
     monkeypatch.setattr(pq, "TURN", 500)
     rng = np.random.default_rng(dim)
     flat = rng.normal(0, 1, (900, rank)) @ np.linalg.qr(rng.normal(0, 1, (dim, rank)))[0].T
@@ -66,7 +66,7 @@ def test_table_products_bound_the_cosine():
     x = rng.normal(0, 1, (500, 24))
     x[250:] = x[:250] + rng.normal(0, 0.1, (250, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q = pq.Quantiser([x], 0.9, 500 * pq.LIST)
+    q = pq.Quantiser([x], 0.9, (40 * pq.ROOT) ** 2)
     cell, code = q.encode(x)
     assert len(np.unique(cell)) > 10
     for c in np.unique(cell):
@@ -81,7 +81,7 @@ def test_a_link_across_cells_is_probed_from_one_end():
     rng = np.random.default_rng(8)
     x = rng.normal(0, 1, (600, 5)) @ rng.normal(0, 1, (5, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q = pq.Quantiser([x], 0.9, 600 * pq.LIST)
+    q = pq.Quantiser([x], 0.9, (40 * pq.ROOT) ** 2)
     cell, _ = q.encode(x)
     seen = q.probes(x, cell)[:, cell]
     linked = x @ x.T >= 0.9
