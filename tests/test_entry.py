@@ -21,7 +21,7 @@ def test_entry(spark):
 
 
 def test_every_sql_has_a_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(catalogue.ORACLE) | {"subscription_batch"} == set(catalogue.QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(catalogue.ORACLE) == set(catalogue.QUERIES)
 
 
 @pytest.fixture(scope="module")
