@@ -35,53 +35,52 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one match by repeated merging of the leftmost pair of least rank."""
-    if (whole := ranks.get(piece)) is not None:
+    get = ranks.get
+    if (whole := get(piece)) is not None:
         return [whole]
     n = len(piece)
-    size = 1 << max(1, (n - 1).bit_length())
-    none = 1 << 62  # above every key
+    bits = max(1, (n - 1).bit_length())
+    size, none = 1 << bits, 1 << 62  # none is above every key
     # A key is rank * size + position, so that the least key is the leftmost pair of least rank.
     tree = [none] * (2 * size)
-    nxt, prv, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-
-    def key(i: int) -> int:
-        j = nxt[i]
-        if j >= n:
-            return none
-        r = ranks.get(piece[i : end[j]])
-        return none if r is None else r * size + i
-
     for i in range(n - 1):
-        r = ranks.get(piece[i : i + 2])
+        r = get(piece[i : i + 2])
         if r is not None:
-            tree[size + i] = r * size + i
+            tree[size + i] = r << bits | i
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-
-    def put(i: int, v: int) -> None:
-        k = size + i
-        tree[k] = v
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            v = a if a < b else b
-            if tree[k] == v:
-                return
-            tree[k] = v
-            k >>= 1
-
-    while tree[1] != none:
-        i = tree[1] % size
+    nxt, prv, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    while (top := tree[1]) != none:
+        # Position i takes in its neighbour j; their pairs with the neighbours k and h change.
+        i = top & size - 1
         j = nxt[i]
-        end[i] = end[j]
-        nxt[i] = nxt[j]
-        if nxt[j] < n:
-            prv[nxt[j]] = i
-        put(j, none)
-        put(i, key(i))
-        if prv[i] >= 0:
-            put(prv[i], key(prv[i]))
+        k = nxt[i] = nxt[j]
+        h, stop = prv[i], end[j]
+        end[i] = stop
+        tree[size + j] = tree[size + i] = none
+        if k < n:
+            prv[k] = i
+            r = get(piece[i : end[k]])
+            if r is not None:
+                tree[size + i] = r << bits | i
+        x = z = size + i >> 1
+        y = size + j >> 1
+        if h >= 0:
+            r = get(piece[h:stop])
+            tree[size + h] = none if r is None else r << bits | h
+            z = size + h >> 1
+        # Up from the three points at once, as their ways soon meet.
+        while x:
+            a, b = tree[2 * x], tree[2 * x + 1]
+            tree[x] = a if a < b else b
+            if y != x:
+                a, b = tree[2 * y], tree[2 * y + 1]
+                tree[y] = a if a < b else b
+            if z != x:
+                a, b = tree[2 * z], tree[2 * z + 1]
+                tree[z] = a if a < b else b
+            x, y, z = x >> 1, y >> 1, z >> 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
