@@ -321,6 +321,13 @@ def lens_view(spark, sf_dir):
     return e.request("{ Big { key status mark copied } }")["Big"]
 
 
+@operation("lens_prepend", "select -1 as key, 'first' as status union all select o_orderkey, o_orderstatus from orders where o_totalprice > 150000")
+def lens_prepend(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    e.add_view("Big", _VIEW, lens.chain(lens.remove("total"), lens.prepend({"key": -1, "status": "first"})))
+    return e.request("{ Big { key status } }")["Big"]
+
+
 @operation("lens_versions", "select n_nationkey as id, n_name as name, case when n_nationkey % 2 = 0 then 'old' else 'kept' end as tag from nation")
 def lens_versions(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
@@ -488,6 +495,16 @@ def one_to_one(spark, sf_dir):
     return e.request("{ Author { name address { street } } }")["Author"].select(F.col("name").alias("author"), F.lit(refused).alias("refused"))
 
 
+@operation("embedding_on_write", "select * from (values ('Ann', 3.0::double), ('Bo', 2.0), ('Own', 9.0)) t(name, v)")
+def embedding_on_write(spark, sf_dir):
+    """Embeddings that documents lack are made when they are written, by a function that the caller gives, in one batch."""
+    e = Engine(spark)
+    e.add_schema('type User { name: String v: [Float32!] @embedding(fields: ["name"], provider: "own", model: "m") }')
+    e.embed_with("own", lambda texts, model: [[float(len(t))] for t in texts])
+    e.create_many("User", [{"name": "Ann"}, {"name": "Bo"}, {"name": "Own", "v": [9.0]}])
+    return e.request("{ User { name v } }")["User"].select("name", F.col("v")[0].cast("double").alias("v"))
+
+
 @operation("several_roots", "select 'region' as root, r_name as name from region union all select 'nation', n_name from nation where n_regionkey = 1")
 def several_roots(spark, sf_dir):
     got = engine(spark, sf_dir).request("{ region { r_name } few: nation(filter: {n_regionkey: {_eq: 1}}) { n_name } }")

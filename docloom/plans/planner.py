@@ -301,7 +301,11 @@ class Planner:
         if not r.many:
             frame.put(item.out, F.col(frame.attach(child.df, by, [value])[0]))
             return
-        lists = self.gather(child.df, [link], order, value)
+        if item.order or item.group_by is not None:
+            lists = self.gather(child.df, [link], order, value)
+        else:  # in the order of keys, which need no rank
+            one = F.struct(F.col(f"`{child.collection.key}`").alias("key"), value.alias("value"))
+            lists = child.df.groupBy(link).agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["value"]).alias("list"))
         name = frame.attach(lists, by, [F.col("list")])[0]
         frame.put(item.out, F.coalesce(F.col(name), F.array().cast(frame.kind(name))))
 
