@@ -66,7 +66,7 @@ def contexts(docs: DataFrame) -> np.ndarray:
         total = np.zeros((BUCKETS, DIM), np.int64)
         for batch in batches:
             buf, offs = bytes_of(batch.column("text"))
-            for lo, hi in slices(offs, 2 << 20):
+            for lo, hi in slices(offs, 1 << 19):
                 b, first = tokens(buf, offs[lo : hi + 1])
                 if not len(b):
                     continue
@@ -114,7 +114,7 @@ def pool(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> np.ndarray:
     """For each text the mean word vector, and the mean likeness (dot product) of each token to the next."""
     dim = table.shape[1]
     out = np.zeros((len(offs) - 1, dim + 1), np.float64)
-    for lo, hi in slices(offs, 1 << 20):
+    for lo, hi in slices(offs, 1 << 19):
         b, first = tokens(buf, offs[lo : hi + 1])
         some = np.flatnonzero(np.diff(first) > 0)
         if len(some):
