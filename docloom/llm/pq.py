@@ -9,7 +9,7 @@ angle to the vector itself, and a pair whose bound is over the limit can't be a
 double precision.
 
 Equal vectors are one class with a weight, so copies are counted and never paired. The number of lists grows with the
-table, up to LISTS; lists are cut into blocks of bounded size, and a block's visitors into as many turns as the table's
+square root of the table, up to LISTS; lists are cut into blocks of bounded size, and a block's visitors into as many turns as the table's
 size asks for. What leaves a block is counts and, of its links, a spanning forest.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components have 0 links and are their
@@ -31,8 +31,11 @@ from .components import components
 from .vectors import binary, centres, matrix, nearest, rows_of, sample
 
 LISTS, PARTS, CODES = 1024, 8, 32
-#: Vectors of a list where there are lists enough, of a block, and of the table for each turn, about.
-LIST, BLOCK, TURN = 1024, 4096, 1 << 16
+#: There are as many lists as the square root of the number of vectors has times ROOT: a row is sent to a share of all lists,
+#: so more lists are more rows sent, and fewer are more pairs compared.
+ROOT = 8
+#: Vectors of a block, and of the table for each turn, about.
+BLOCK, TURN = 4096, 1 << 16
 
 
 class Quantiser:
@@ -46,7 +49,7 @@ class Quantiser:
             size = np.linalg.norm(m, axis=1)
             x = m[(size > 0) & np.isfinite(size)] / size[(size > 0) & np.isfinite(size), None]
             if len(x):
-                c = centres(x, max(1, min(LISTS, rows // LIST, len(x) // 16)))
+                c = centres(x, max(1, min(LISTS, math.isqrt(rows) // ROOT, len(x) // 16)))
                 rest = x - c[nearest(x, c)[0]]
                 self.models[x.shape[1]] = c, [centres(p, CODES) for p in np.array_split(rest, min(PARTS, x.shape[1]), axis=1)]
                 half = (c * c).sum(axis=1) / 2
