@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import cols, stored
 
-#: Spaces and the like at a line's ends, as a Java expression.
-_BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+#: Spaces and the like at a line's ends.
+_SPACE = " \t\n\x0b\x0c\r"
 #: Estimates from so much below the threshold to so much above it are counted exactly.
 NEAR = 0.25
 LG_K = 12
@@ -28,11 +28,11 @@ SENT_ROWS = 100_000
 
 def _lines(docs: DataFrame) -> DataFrame:
     """Every line that is not blank: h1, h2 (its hash), site, at (order of occurrence), pos."""
-    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("tie"), "pos")
-    out = docs.select("doc_id", "source", "text", F.posexplode(F.split("text", "\n")))
-    trimmed = F.when(F.col("col").rlike(_BLANK), F.regexp_replace("col", _BLANK, "")).otherwise(F.col("col"))
-    out = out.withColumn("line", trimmed).where("line != ''")
-    return out.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), F.xxhash64("source").alias("site"), at.alias("at"))
+    # What is said of a whole text is taken before it is split, once for each text.
+    out = docs.select("doc_id", F.xxhash64("source").alias("site"), F.xxhash64("text").alias("tie"), F.split("text", "\n").alias("all")).select("doc_id", "site", "tie", F.posexplode("all"))
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "pos")
+    out = out.withColumn("line", F.btrim("col", F.lit(_SPACE))).where("line != ''")
+    return out.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "site", at.alias("at"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int) -> DataFrame:
