@@ -249,3 +249,17 @@ def test_aggregates_over_one_target_are_joined_once(spark):
     assert [tuple(r) for r in df.collect()] == [("A", 2, 4.0, 30, 1), ("B", 0, 0.0, None, 0)]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 2
+
+
+def test_index_lays_out_and_filters_reach_the_scan(spark, tmp_path):
+    e = Engine(spark)
+    e.add_schema("type User { name: String age: Int @index }")
+    e.load("User", spark.range(2000).select(F.concat(F.lit("k"), "id").alias("_docID"), F.lit("x").alias("name"), (F.col("id") * 7919 % 2000).cast("int").alias("age")))
+    e.write("User", f"file://{tmp_path}/u")
+    df = e.request("{ User(filter: {age: {_ge: 10, _lt: 20}}) { name age } }")["User"]
+    assert df.count() == 10
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(age,10)" in plan
+    # Each file holds a range of ages of its own.
+    files = spark.read.parquet(f"file://{tmp_path}/u").groupBy(F.input_file_name().alias("f")).agg(F.min("age").alias("lo"), F.max("age").alias("hi")).orderBy("lo").collect()
+    assert all(a.hi < b.lo for a, b in zip(files, files[1:]))
