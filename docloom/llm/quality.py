@@ -1,7 +1,7 @@
 """Quality scores from random-indexing word vectors and a small calibrated network.
 
-Every token (a run of letters and digits, or a run of signs) falls into one of BUCKETS, and each bucket has a sparse
-random index vector. A bucket's word vector is the sum of the index vectors of its tokens' neighbours over the whole
+Every token (a run of letters and digits, or a run of signs) falls into one of BUCKETS, which words share, the more the
+larger the vocabulary is, and each bucket has a sparse random index vector. A bucket's word vector is the sum of the index vectors of its tokens' neighbours over the whole
 corpus, gathered as integer sums on the executors, so that it does not depend on how the input is partitioned.
 A document is the mean of its tokens' word vectors and their mean likeness to the next one. A two-layer network gives a probability, whose temperature is
 set on labelled rows that were kept out of its training.
